@@ -63,3 +63,78 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op2_token_files")
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fresh_path
+    from .token_files import read_token_files, write_token_files
+
+    docs, uri = _table(spark, sf_dir, "documents"), fresh_path(spark, "token-files")
+    shards = write_token_files(docs, uri, _tokenizer())
+    return read_token_files(spark, uri, shards, docs.schema["doc_id"].dataType.simpleString())
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
+@query(
+    "op5_warc",
+    """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < kept THEN kept END AS refers_to FROM p LEFT JOIN k USING (payload_digest)
+""",
+)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fresh_path
+    from .warc import read_warc, write_warc
+
+    uri = fresh_path(spark, "warc")
+    return read_warc(spark, uri, write_warc(_table(spark, sf_dir, "pages"), uri))
+
+
+@query("op6_fingerprints")
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edited_fingerprints
+
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+#: The queries' key; a deployment passes its own, from where it keeps secrets.
+DEMO_KEY = b"strandline queries"
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonyms
+
+    out = pseudonyms(_table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+    return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.concat_ws(",", F.array_sort(F.transform("pii", lambda x: x["kind"]))).alias("kinds"))
+
+
+@query("op10_mixing")
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "epoch", "block_order", "doc_order")
