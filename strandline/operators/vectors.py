@@ -91,7 +91,7 @@ def embed(texts: DataFrame, embedder: Embedder, model: str) -> DataFrame:
     return out.withColumn("model", F.lit(model))
 
 
-def hashing_embedder(dimensions: int = 16) -> Embedder:
+def hashing_embedder(dimensions: int = 64) -> Embedder:
     """Words hashed into dimensions: deterministic, for tests and offline use."""
     import zlib
 

@@ -286,7 +286,7 @@ class Compiler:
         p = parts[0]
         if len(p.nodes) != 2:
             raise QueryProblem("a path function takes one relationship pattern")
-        a, b = (n if n.var else type(n)(f"__end{i}", n.labels, n.props) for i, n in enumerate(p.nodes))
+        a, b = (n if n.var else type(n)(f"end {i}", n.labels, n.props) for i, n in enumerate(p.nodes))
         ends, rest = [], conjuncts(where)
         for n in (a, b):
             found = self.patterns().frame([Part((n,), ())], frame.scope)
@@ -453,7 +453,7 @@ class Compiler:
     def _project(self, f: Frame, c: Clause) -> Frame:
         items = list(c.items)
         if c.star:
-            items = [Item(Var(v), v, v) for v in f.scope if not v.startswith("__")] + items
+            items = [Item(Var(v), v, v) for v in f.scope if not v.startswith("__") and " " not in v] + items
         names = [i.alias or (i.expr.name if isinstance(i.expr, Var) else i.text) for i in items]
         if len(set(names)) < len(names):
             raise QueryProblem(f"columns of one name: {names}")

@@ -79,9 +79,10 @@ class Patterns:
                 found = [t for t in found if t.label in b.labels]
             tables[v] = found
         frames = [self._way(nodes, rels, way, kinds) for way, kinds in self._ways(rels, tables)]
-        if not frames:
-            return self._nothing(nodes, rels, scope)
-        return unite(frames)
+        found = unite(frames) if frames else self._nothing(nodes, rels, scope)
+        # what has no name can't be referred to again
+        named = {v: b for v, b in found.scope.items() if not v.startswith("__")}
+        return Frame(found.df.drop(*(c for v, b in found.scope.items() if v not in named for c in b.columns())), named)
 
     def _named(self, parts: list[Part]) -> list[Part]:
         count = iter(range(10**6))

@@ -110,7 +110,7 @@ def introspect(f: str, b: NodeVar | RelVar) -> Typed | None:
         names = [F.when(at(f"{b.name}.{p}").isNotNull(), F.lit(p)) for p in sorted(b.props)]
         return Typed(F.array_compact(F.array(*names)) if names else F.array().cast("array<string>"), T.ArrayType(STRING))
     if f == "properties":
-        return Typed(F.struct(*(at(f"{b.name}.{p}").alias(p) for p in b.props)), None) if b.props else null()
+        return Typed(F.struct(*(at(f"{b.name}.{p}").alias(p) for p in b.props)), T.StructType([T.StructField(p, k) for p, k in b.props.items()])) if b.props else null()
     if f in ("startnode", "endnode") and isinstance(b, RelVar):
         k = 0 if f == "startnode" else 1
         return Typed(at(f"{b.name}.{('__src', '__dst')[k]}"), b.id_kinds[k])
