@@ -1,15 +1,17 @@
 """WARC archives, written and read back by boundary chains (operator 5).
 
-Reading splits an archive into byte ranges. A task finds every place in its range where the version line of a record
-stands, reads the header there and emits the place with its successor: where the next record must start if this one is
+Records are compressed one by one, as archives usually are, or stored plain. Reading splits an archive into byte ranges. A task finds every place in its range where the version line of a record (or the
+first bytes of a compressed one) stands, reads the record there and emits the place with its successor: where the next record must start if this one is
 real. Payloads may hold that line too, and whole records even, so places prove nothing by themselves: pointer jumping
 from the start of each file keeps those that the chain reaches, doubling the jump each round.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -22,6 +24,7 @@ from .common import forget, small_batches, written
 from .files import open_file, whole_file
 
 MAGIC = b"WARC/1.0\r\n"
+GZIP_MAGIC = b"\x1f\x8b\x08"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -39,40 +42,64 @@ def decide(pages: DataFrame, least: int = 1000, id_col: str = "page_id", html_co
     return judged.select("id", "digest", F.when(revisit, "revisit").otherwise("response").alias("type"), F.when(revisit, F.col("kept")).alias("refers_to"))
 
 
-def record(page: int | None, url: str | None, payload: bytes, kind: str, refers: int | None, date: str) -> bytes:
-    """One record. A revisit has no block, but says the digest and length of the payload that it stands for."""
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{hashlib.sha1(payload).hexdigest()}")]
+def record(page: int | None, url: str | None, payload: bytes, date: str) -> bytes:
+    """A response."""
+    fields = [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))]
+    return _head(page, url, "response", hashlib.sha1(payload).hexdigest(), date, fields) + payload + b"\r\n\r\n"
+
+
+def revisit(page: int | None, url: str | None, digest: str, length: int, refers: int, date: str) -> bytes:
+    """A record without a block that says the digest and length of the payload that it stands for."""
+    fields = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers}>"), ("X-Payload-Length", str(length)), ("Content-Length", "0")]
+    return _head(page, url, "revisit", digest, date, fields) + b"\r\n\r\n"
+
+
+def _head(page: int | None, url: str | None, kind: str, digest: str, date: str, more: list[tuple[str, str]]) -> bytes:
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if url is not None:
         head.append(("WARC-Target-URI", quote(url, safe="%/:=&?~#+!$,;'@()*[]")))
-    if kind == "revisit":
-        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers}>"), ("X-Payload-Length", str(len(payload))), ("Content-Length", "0")]
-        payload = b""
-    else:
-        head += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))]
-    return b"".join([MAGIC, *(f"{k}: {v}\r\n".encode() for k, v in head), b"\r\n", payload, b"\r\n\r\n"])
+    return b"".join([MAGIC, *(f"{k}: {v}\r\n".encode() for k, v in [*head, *more]), b"\r\n"])
 
 
-def write_warc(pages: DataFrame, uri: str, *, least: int = 1000, most: int = 1 << 28, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> list[tuple[str, int]]:
+def write_warc(pages: DataFrame, uri: str, *, least: int = 1000, most: int = 1 << 28, compress: bool = True, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> list[tuple[str, int]]:
     """Write a record for each row of pages into uri; (name, bytes) of each archive.
 
     A null html is an empty payload, a null url leaves its field out, a null id is written as such. Repeated rows are
     repeated records; copies of a payload under its largest id are all responses. An archive is closed when it passes
-    most bytes. Pages meet their verdict by id, so that copies don't meet in one task.
+    most bytes. compress: each record is a gzip member of its own, and names end in .gz. Pages meet their verdict by id, so that copies don't meet in one task.
     """
     small_batches(pages.sparkSession)
     verdicts = decide(pages, least, id_col, html_col)
-    full = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("binary"), F.lit(b"")).alias("payload")).withColumn("d", F.sha1("payload"))
-    rows = full.join(verdicts, full["id"].eqNullSafe(verdicts["id"]) & (F.col("d") == F.col("digest"))).select(full["id"], "url", "payload", "type", "refers_to")
+    full = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("binary"), F.lit(b"")).alias("payload"))
+    kind = pages.schema[id_col].dataType.simpleString()
+
+    def packed(data: bytes) -> bytes:
+        return gzip.compress(data, 6, mtime=0) if compress else data
+
+    def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b for b in batches if b.num_rows):
+            out = []
+            for page, url, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out.append((hashlib.sha1(payload).hexdigest(), len(payload), packed(record(page, url, payload, date))))
+            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "url", "d", "bytes", "record"])
+
+    # records are made before they are dealt out, so what is shuffled is compressed
+    made = full.mapInArrow(responses, f"id {kind}, url string, d string, bytes long, record binary")
+    rows = made.join(verdicts, made["id"].eqNullSafe(verdicts["id"]) & (F.col("d") == F.col("digest")))
+    rows = rows.select(made["id"], "url", "d", "bytes", F.when(F.col("type") == "response", F.col("record")).alias("record"), "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get(), 0
         pending = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         one = next(pending, None)
         while one is not None:
-            name, size = f"part-{task.partitionId():06d}-{n:04d}.warc", 0
+            name, size = f"part-{task.partitionId():06d}-{n:04d}.warc{'.gz' * compress}", 0
             with whole_file(uri, name, task.taskAttemptId()) as f:
                 while one is not None and size < most:
-                    data = record(*one, date)
+                    page, url, digest, length, data, refers = one
+                    if data is None:
+                        data = packed(revisit(page, url, digest, length, refers, date))
                     f.write(data)
                     size += len(data)
                     one = next(pending, None)
@@ -82,26 +109,56 @@ def write_warc(pages: DataFrame, uri: str, *, least: int = 1000, most: int = 1 <
     return sorted((r.name, r.bytes) for r in rows.mapInArrow(run, "name string, bytes long").collect())
 
 
-def _header(f: pa.NativeFile, at: int, size: int, most: int = 1 << 16) -> tuple[dict[str, str], int] | None:
-    """The fields of a header that starts at a place, and where its block starts; None if none can be read there."""
+def _fields(head: bytes) -> dict[str, str] | None:
+    """The fields of a header without its version line and closing empty line; None if it isn't one."""
+    fields = {}
+    for line in head.split(b"\r\n"):
+        k, colon, v = line.partition(b":")
+        if not colon:
+            return None
+        fields[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
+    return fields
+
+
+def _plain(f: pa.NativeFile, at: int, size: int, most: int = 1 << 16) -> tuple[dict[str, str], bytes, int] | None:
+    """Fields, block and successor of a plain record that starts at a place; None if none can be read there."""
     for n in (1024, most):
         head = f.read_at(min(n, size - at), at)
         if (end := head.find(b"\r\n\r\n")) >= 0:
             break
     else:
         return None
-    fields = {}
-    for line in head[len(MAGIC) : end].split(b"\r\n"):
-        k, colon, v = line.partition(b":")
-        if not colon:
-            return None
-        fields[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
-    return fields, at + end + 4
+    fields, block = _fields(head[len(MAGIC) : end]), at + end + 4
+    length = (fields or {}).get("content-length", "")
+    if not (length.isascii() and length.isdigit()) or block + int(length) + 4 > size:
+        return None
+    return fields, f.read_at(int(length), block), block + int(length) + 4
+
+
+def _compressed(f: pa.NativeFile, at: int, size: int) -> tuple[dict[str, str], bytes, int] | None:
+    """The same of a record that is a gzip member; the member's end is the successor."""
+    member, data, place = zlib.decompressobj(31), [], at
+    try:
+        while not member.eof and place < size:
+            part = f.read_at(min(1 << 16, size - place), place)
+            place += len(part)
+            data.append(member.decompress(part))
+            if not b"".join(data[:1])[: len(MAGIC)] == MAGIC[: len(data[0])]:
+                return None
+    except zlib.error:
+        return None
+    whole = b"".join(data)
+    head, _, block = whole.partition(b"\r\n\r\n")
+    fields = _fields(head[len(MAGIC) :]) if member.eof and whole.startswith(MAGIC) else None
+    length = (fields or {}).get("content-length", "")
+    if not (length.isascii() and length.isdigit()) or len(block) < int(length):
+        return None
+    return fields, block[: int(length)], place - len(member.unused_data)
 
 
 def candidates(spark: SparkSession, uri: str, files: list[tuple[str, int]], split: int = 1 << 23) -> DataFrame:
-    """file (its number), off, next, and the record's fields as read, for every place with a version line and a header
-    that can be read, whether a record stands there or not. One task for each split of so many bytes."""
+    """file (its number), off, next, and the record's fields as read, for every place where a record can be read,
+    whether one was written there or not. One task for each split of so many bytes; it holds its split and a record."""
     small_batches(spark, 8192)
     names = [n for n, _ in files]
     splits = [(i, n, size, a, min(a + split, size)) for i, (n, size) in enumerate(files) for a in range(0, size, split)]
@@ -111,19 +168,17 @@ def candidates(spark: SparkSession, uri: str, files: list[tuple[str, int]], spli
         for b in batches:
             for i, name, size, begin, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 f, out = open_file(uri, name), []
-                data = f.read_at(min(end + len(MAGIC) - 1, size) - begin, begin)
-                for m in re.finditer(re.escape(MAGIC), data):
-                    if not (head := _header(f, at := begin + m.start(), size)):
-                        continue
-                    fields, block = head
-                    length = fields.get("content-length", "")
-                    if not (length.isascii() and length.isdigit()) or block + int(length) + 4 > size:
+                magic, read = (GZIP_MAGIC, _compressed) if name.endswith(".gz") else (MAGIC, _plain)
+                data = f.read_at(min(end + len(magic) - 1, size) - begin, begin)
+                for m in re.finditer(re.escape(magic), data):
+                    if not (found := read(f, at := begin + m.start(), size)):
                         continue
-                    after, kind = block + int(length) + 4, fields.get("warc-type", "")
+                    fields, block, after = found
+                    kind = fields.get("warc-type", "")
                     if kind == "revisit":
                         digest, n = fields.get("warc-payload-digest", "").removeprefix("sha1:"), fields.get("x-payload-length", "0")
                     else:
-                        digest, n = hashlib.sha1(f.read_at(int(length), block)).hexdigest(), length
+                        digest, n = hashlib.sha1(block).hexdigest(), str(len(block))
                     page, refers = (number(fields.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
                     out.append((i, at, after, page and int(page[1]), int(n) if n.isdigit() else 0, digest, kind, refers and int(refers[1])))
                 if out:

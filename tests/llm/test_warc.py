@@ -7,7 +7,7 @@ from strandline.llm.common import fresh_path
 from strandline.llm.files import whole_file
 from strandline.llm.warc import MAGIC, read_warc, record, write_warc
 
-NESTED = record(99, "http://inner/", b"payload", "response", None, "2020-01-01T00:00:00Z").decode()
+NESTED = record(99, "http://inner/", b"payload", "2020-01-01T00:00:00Z").decode()
 BIG = "é" * 600
 PAGES = [
     (1, "http://a/", "<html>one</html>"),
@@ -63,7 +63,7 @@ def test_edges(spark):
 
 def test_damage_is_told(spark):
     uri = fresh_path(spark, "test-warc")
-    data = record(1, "u", b"abc", "response", None, "d") + b"garbage"
+    data = record(1, "u", b"abc", "d") + b"garbage"
     with whole_file(uri, "x.warc", 0) as f:
         f.write(data)
     with pytest.raises(ValueError, match="end at"):
@@ -73,8 +73,8 @@ def test_damage_is_told(spark):
 def test_compressed_record_inside_a_stored_one(spark):
     import gzip
 
-    inner = gzip.compress(record(99, "u", b"inner", "response", None, "d"), 0, mtime=0)
-    data = gzip.compress(record(1, "u", inner, "response", None, "d"), 0, mtime=0) + gzip.compress(record(2, "u", b"x", "response", None, "d"), mtime=0)
+    inner = gzip.compress(record(99, "u", b"inner", "d"), 0, mtime=0)
+    data = gzip.compress(record(1, "u", inner, "d"), 0, mtime=0) + gzip.compress(record(2, "u", b"x", "d"), mtime=0)
     uri = fresh_path(spark, "test-warc")
     with whole_file(uri, "x.warc.gz", 0) as f:
         f.write(data)
