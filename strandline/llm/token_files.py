@@ -1,9 +1,10 @@
 """Token ids in Arrow files of fixed-size-list batches (operator 2).
 
 A shard is an Arrow file (the stream format followed by a footer that has every batch's offset) whose batches hold two
-fixed-size lists: ids (unsigned 32 bit) and mask (unsigned 8 bit: 0 padding, 1 token, 3 last token of a document).
-All sequences are equally long, so that sequence i lies at a computable place and is read without a copy. Beside it is
-an Arrow file with the documents' ids in the same order. Documents ascend by id over the shards, and in each.
+fixed-size lists: ids (16 bits each where the vocabulary allows it, else 32) and mask (a bit for each token, 0 for
+padding, eight to a byte, the first one highest). All sequences are equally long, so that sequence i lies at a
+computable place and is read without a copy. Beside it is an Arrow file with the documents' ids and lengths in the same
+order. Documents ascend by id over the shards, and in each.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .files import open_file, whole_file
 
 
 class TokenFile:
-    """Random access to a shard: len() sequences; [i] is (ids, mask) as NumPy views of the mapped file."""
+    """Random access to a shard: len() sequences; [i] is (ids, mask bits) as NumPy views of the mapped file."""
 
     def __init__(self, uri: str, name: str):
         self.reader = pa.ipc.open_file(open_file(uri, name))
@@ -39,9 +40,9 @@ class TokenFile:
             raise IndexError(i)
         at = int(np.searchsorted(self.sizes, i, "right")) - 1
         batch, row = self.reader.get_batch(at), i - self.sizes[at]
-        width = batch.schema.field("ids").type.list_size
         ids, mask = (batch.column(c).values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
-        return ids[row * width : (row + 1) * width], mask[row * width : (row + 1) * width]
+        width = batch.schema.field("ids").type.list_size
+        return ids[row * width : (row + 1) * width], mask[row * width // 8 : (row + 1) * width // 8]
 
 
 def write_token_files(
@@ -51,9 +52,11 @@ def write_token_files(
 
     One range exchange by id; each task streams its range, encodes and writes it, holding at most rows sequences and one
     Arrow batch. end_id is appended to each document; a null text is empty. Rows with equal ids ascend by text; null
-    ids come first. An empty table gives no shard. The list has one entry for each file, as a listing would.
+    ids come first. An empty table gives no shard. width: a multiple of eight. The list has one entry for each file, as a listing would.
     """
     small_batches(docs.sparkSession)
+    if width % 8:
+        raise ValueError("width must be a multiple of eight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -62,37 +65,35 @@ def write_token_files(
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        schema = pa.schema([("ids", pa.list_(pa.uint32(), width)), ("mask", pa.list_(pa.uint8(), width))])
-        held_ids, held_mask, documents, tokens = [], [], 0, 0
-
-        def put(out: pa.RecordBatchWriter, last: bool) -> None:
-            ids, mask = np.frombuffer(b"".join(held_ids), "<u4"), np.concatenate(held_mask)
-            whole = len(ids) // width * width
-            if last and whole < len(ids):
-                spare = width - len(ids) % width
-                ids, mask = np.append(ids, np.zeros(spare, np.uint32)), np.append(mask, np.zeros(spare, np.uint8))
-                whole = len(ids)
-            for at in range(0, whole, rows * width):
-                part = slice(at, min(at + rows * width, whole))
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[part]), width) for x in (ids, mask)]
+        small = max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
+        schema = pa.schema([("ids", pa.list_(pa.uint16() if small else pa.uint32(), width)), ("mask", pa.list_(pa.uint8(), width // 8))])
+        held: list[bytes] = []
+        size = documents = tokens = 0
+
+        def put(out: pa.RecordBatchWriter, last: bool) -> int:
+            ids = np.frombuffer(b"".join(held), "<u4").astype(np.uint16 if small else np.uint32)
+            used = len(ids) if last else len(ids) // width * width
+            held[:] = [ids[used:].astype("<u4").tobytes()]
+            ids = np.pad(ids[:used], (0, -used % width))
+            mask = np.packbits(np.arange(len(ids)) < used)
+            for at in range(0, len(ids), rows * width):
+                end = min(at + rows * width, len(ids))
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(ids[at:end]), width), pa.FixedSizeListArray.from_arrays(pa.array(mask[at // 8 : end // 8]), width // 8)]
                 out.write_batch(pa.RecordBatch.from_arrays(lists, schema=schema))
-            held_ids[:], held_mask[:] = [ids[whole:].tobytes()], [mask[whole:]]
+            return len(held[0]) // 4
 
-        with whole_file(uri, name, attempt) as f, whole_file(uri, f"{name}.docs", attempt) as g, pa.ipc.new_file(f, schema) as out, pa.ipc.new_file(g, pa.schema([("id", first.schema.field(0).type)])) as index:
-            held = 0
+        with whole_file(uri, name, attempt) as f, whole_file(uri, f"{name}.docs", attempt) as g, pa.ipc.new_file(f, schema) as out, pa.ipc.new_file(g, pa.schema([("id", first.schema.field(0).type), ("n_tokens", pa.int64())])) as index:
             for b in (b for some in ([first], batches) for b in some):
+                lengths = []
                 for text in encoder.encode([t or "" for t in b.column(1).to_pylist()]):
-                    n = len(text) // 4 + 1
-                    mask = np.ones(n, np.uint8)
-                    mask[-1] = 3
-                    held_ids += (text, end)
-                    held_mask.append(mask)
-                    held, tokens, documents = held + n, tokens + n, documents + 1
-                    if held >= rows * width:
-                        put(out, False)
-                        held = len(held_mask[0])
-                index.write_batch(pa.RecordBatch.from_arrays([b.column(0)], names=["id"]))
-            if held:
+                    held += (text, end)
+                    lengths.append(len(text) // 4 + 1)
+                    size += lengths[-1]
+                    if size >= rows * width:
+                        size = put(out, False)
+                documents, tokens = documents + len(lengths), tokens + sum(lengths)
+                index.write_batch(pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int64())], names=["id", "n_tokens"]))
+            if size:
                 put(out, True)
         yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "name": name, "documents": documents, "tokens": tokens}])
 
@@ -119,29 +120,20 @@ def read_token_files(spark: SparkSession, uri: str, shards: list[tuple[int, str,
     def read(name: str, start: int) -> Iterator[pa.RecordBatch]:
         index = pa.ipc.open_file(open_file(uri, f"{name}.docs"))
         data = pa.ipc.open_file(open_file(uri, name))
-        crc = n = 0
-        found: list[tuple[int, int, int]] = []
-        ids_at, ids = 0, index.get_batch(0).column(0)
-
-        def batch(some: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in zip(*some, strict=True))], names=["id", "start", "n_tokens", "ids_crc32"])
-
-        for i in range(data.num_record_batches):
-            part = data.get_batch(i)
-            tokens, mask = (part.column(c).values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
-            used = int(np.count_nonzero(mask))  # padding is at the very end only
-            raw, at = memoryview(tokens.tobytes()), 0
-            for end in np.flatnonzero(mask == 3).tolist():
-                crc, n = zlib.crc32(raw[4 * at : 4 * (end + 1)], crc), n + end + 1 - at
+        part, raw, at = 0, memoryview(b""), 0
+        for i in range(index.num_record_batches):
+            names, found = index.get_batch(i), []
+            for n in names.column(1).to_pylist():
+                crc, left = 0, 4 * n
+                while left:
+                    if at == len(raw):
+                        column = data.get_batch(part).column(0)
+                        raw, at, part = memoryview(column.values.to_numpy(zero_copy_only=True).astype("<u4").tobytes()), 0, part + 1
+                    take = min(left, len(raw) - at)
+                    crc, at, left = zlib.crc32(raw[at : at + take], crc), at + take, left - take
                 found.append((start, n, crc))
-                start, at, crc, n = start + n, end + 1, 0, 0
-                if len(found) == len(ids):
-                    yield batch(found)
-                    found.clear()
-                    ids_at += 1
-                    if ids_at < index.num_record_batches:
-                        ids = index.get_batch(ids_at).column(0)
-            crc, n = zlib.crc32(raw[4 * at : 4 * used], crc), n + used - at
+                start += n
+            yield pa.RecordBatch.from_arrays([names.column(0), *(pa.array(x, pa.int64()) for x in zip(*found, strict=True))], names=["id", "start", "n_tokens", "ids_crc32"])
 
     places = spark.createDataFrame(rows, "name string, base long")
     out = f"id {id_type}, start long, n_tokens long, ids_crc32 long"

@@ -28,6 +28,7 @@ def encode():
 def test_cached_encoder_is_the_library(encode):
     r = random.Random(3)
     texts = ["".join(r.choice("ab '\n\t \x1c\x85 .,1sé<|>ñ東") for _ in range(r.randrange(40))) for _ in range(3000)]
+    texts += ["".join(r.choice(["\n", " ", "word", "Éß", "***", ".,", "'s", "'", "1", "\n\n", "#$%", "_"]) for _ in range(r.randrange(12))) for _ in range(3000)]
     texts += [t for _, t, _ in DOCS if t] + ["<|endoftext|>", "a <|endoftext|>.\n b"]
     e = CachedEncoder(PATH, most=500)
     for at in range(0, len(texts), 100):
