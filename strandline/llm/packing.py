@@ -10,7 +10,6 @@ f(i) + p(i), kept in a monotone queue; windows whose length is a power of two ne
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,33 +41,38 @@ def best_cuts(points: list[int], penalty: list[int], size: int, least_power: int
     points: ascending places, the first and last of which are cuts, never more than size apart; penalty: of a cut at
     each. A window may be least_power, twice that and so on up to size tokens without padding.
     """
-    powers = []
+    m = len(points)
+    # where a window of a power of two ends, and the windows' starts
+    at = np.array(points)
+    fits: dict[int, list[int]] = {}
     while least_power < size:
-        powers.append(least_power)
+        start = np.minimum(np.searchsorted(at, at - least_power), m - 1)
+        for j in np.flatnonzero(at[start] == at - least_power).tolist():
+            fits.setdefault(j, []).append(int(start[j]))
         least_power *= 2
-    m = len(points)
-    index = {p: i for i, p in enumerate(points)}
-    cost, key, back = [0] * m, [0] * m, [0] * m
-    key[0] = points[0]
-    queue = deque([0])
-    find = index.get
+    cost, back = [0] * m, [0] * m
+    # the queue's indices, places and keys; head is its first entry
+    queue, places, keys, head = [0], [points[0]], [points[0]], 0
     for j in range(1, m):
         p = points[j]
-        while points[queue[0]] < p - size:
-            queue.popleft()
-        i = queue[0]
-        best = key[i] + size - p
-        if best:
-            for length in powers:
-                k = find(p - length)
-                if k is not None and cost[k] < best:
+        first = p - size
+        while places[head] < first:
+            head += 1
+        i, best = queue[head], keys[head] + size - p
+        if best and j in fits:
+            for k in fits[j]:
+                if cost[k] < best:
                     best, i = cost[k], k
         best += penalty[j]
         cost[j], back[j] = best, i
-        key[j] = k = best + p
-        while queue and key[queue[-1]] >= k:
+        key = best + p
+        while len(keys) > head and keys[-1] >= key:
             queue.pop()
+            places.pop()
+            keys.pop()
         queue.append(j)
+        places.append(p)
+        keys.append(key)
     out = [m - 1]
     while out[-1]:
         out.append(back[out[-1]])
