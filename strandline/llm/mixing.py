@@ -127,15 +127,18 @@ def mix(
     edge = edge.withColumn("so_far", F.sum("tokens").over(fits)).where("so_far <= left").groupBy("source").agg(F.max("order").alias("cut_doc"))
     rules = plan.alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").join(edge.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
     salts = 32
-    rules = written(rules.select(F.col("p.source").alias("rule_source"), "whole", "cut_order", "cut_block", "cut_doc").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "mixing-rules")
+    names = ["source", "whole", "cut_order", "cut_block", "cut_doc", "salt"]
+    rules = rules.select(F.col("p.source").alias("source"), "whole", "cut_order", "cut_block", "cut_doc").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # names that no column of docs has
+    rules = written(rules.toDF(*(f"__strandline_{n}" for n in names)), "mixing-rules")
+    rule_source, whole, cut_order, cut_block, cut_doc, salt = (F.col(f"__strandline_{n}") for n in names)
 
-    rows = docs.withColumn("__strandline_place", place)
     p = F.col("__strandline_place")
-    met = rows.join(rules, F.col(f"`{source_col}`").eqNullSafe(F.col("rule_source")) & (F.pmod(p, F.lit(salts)) == F.col("salt")))
-    order = block_order(p, F.col("whole"))
-    in_cut = (order == F.col("cut_order")) & (block(p) == F.col("cut_block"))
-    last = F.col("cut_order").isNull() | F.when(in_cut, F.coalesce(doc_order(p, F.col("whole")) <= F.col("cut_doc"), F.lit(False))).otherwise(F.struct(order, block(p)) < F.struct("cut_order", "cut_block"))
-    copies = (F.col("whole") + last.cast("int")).cast("int")
+    met = docs.withColumn("__strandline_place", place).join(rules, source.eqNullSafe(rule_source) & (F.pmod(p, F.lit(salts)) == salt))
+    order = block_order(p, whole)
+    in_cut = (order == cut_order) & (block(p) == cut_block)
+    last = cut_order.isNull() | F.when(in_cut, F.coalesce(doc_order(p, whole) <= cut_doc, F.lit(False))).otherwise(F.struct(order, block(p)) < F.struct(cut_order, cut_block))
+    copies = (whole + last.cast("int")).cast("int")
     epochs = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))
     out = met.withColumn("epoch", F.explode(epochs)).withColumns({"block_order": block_order(p, F.col("epoch").cast("long")), "doc_order": doc_order(p, F.col("epoch").cast("long"))})
-    return out.drop("__strandline_place", "rule_source", "whole", "cut_order", "cut_block", "cut_doc", "salt")
+    return out.drop("__strandline_place", *(f"__strandline_{n}" for n in names))

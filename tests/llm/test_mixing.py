@@ -58,6 +58,7 @@ def test_budgets(spark, options):
 
 def test_edges(spark):
     assert mix(empty(spark)).count() == 0
+    assert mix(documents(spark, corpus()).selectExpr("*", "1 as whole", "2 as salt", "3 as tokens", "4 as place")).columns[-7:] == ["whole", "salt", "tokens", "place", "epoch", "block_order", "doc_order"]
     one = mix(documents(spark, [(1, None, None), (1, None, None), (None, "a", None)]).withColumnRenamed("lang", "epoch")).collect()
     assert len(one) == 3 and {r.epoch for r in one} == {0}
     a = sorted(tuple(r) for r in mix(documents(spark, corpus()), seed=3).collect() if r.source)
