@@ -24,23 +24,24 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that fail."""
-    return _documents(quality_rules(docs).where("kept").withColumn("text", F.col("clean_text")))
+    return _documents(quality_rules(docs.select(*COLUMNS)).where("kept").withColumn("text", F.col("clean_text")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near-duplicates; of rows that repeat its id, one."""
+    docs = docs.select(*COLUMNS)
     first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
     return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal data."""
-    return _documents(pseudonyms(docs, DEMO_KEY))
+    return _documents(pseudonyms(docs.select(*COLUMNS), DEMO_KEY))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once at least, those of rarer sources up to twice: the flattest mixture within that limit."""
-    return mix(docs, repetition_limit=2.0).select(*COLUMNS)
+    return mix(docs.select(*COLUMNS), repetition_limit=2.0).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
