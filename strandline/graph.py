@@ -89,7 +89,7 @@ class Graph:
     def create_rel(self, kind: str, source: tuple[str, Any], target: tuple[str, Any], props: dict[str, Any] | None = None, at: datetime.datetime | None = None) -> None:
         a, b = (self.catalog.node(x[0]).key for x in (source, target))
         names = "{" + ", ".join(f"{k}: ${k}" for k in props or {}) + "}"
-        self.query(f"MATCH (a:{source[0]} {{{a}: $__a}}), (b:{target[0]} {{{b}: $__b}}) CREATE (a)-[:{kind} {names}]->(b)", {**(props or {}), "__a": source[1], "__b": target[1]})
+        self.query(f"MATCH (a:{source[0]} {{{a}: $__a}}), (b:{target[0]} {{{b}: $__b}}) CREATE (a)-[:{kind} {names}]->(b)", {**(props or {}), "__a": source[1], "__b": target[1]}, **self._when(at))
 
     def set_property(self, label: str, node_id: Any, name: str, value: Any) -> None:
         key = self.catalog.node(label).key

@@ -8,6 +8,7 @@ table and not a history of plans.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,8 @@ from pyspark.sql import types as T
 
 from strandline.operators import vectors
 from strandline.plans.expressions import Expressions, QueryProblem
-from strandline.plans.nodes import Clause, Comprehension, Expr, Lit, NodeP, Part
-from strandline.plans.scope import Frame, NodeVar, RelVar, at
+from strandline.plans.nodes import Clause, Comprehension, Expr, Lit, NodeP, Op, Part
+from strandline.plans.scope import Frame, NodeVar, RelVar, ValueVar, at
 from strandline.sources.catalog import FROM, TO, EmbeddingTable, NodeTable, RelTable, literal_time, with_validity
 from strandline.sources.shared import written
 
@@ -123,17 +124,33 @@ class Mutations:
         return total
 
     def _merge(self, compiler: Any, f: Frame, c: Clause, when: Column) -> tuple[Frame, str, int]:
-        """Per row: nodes that match the pattern, or else one new one. Without rels; with them, the path as a whole."""
-        found = compiler.patterns().frame([c.part], f.scope)
-        if f.df is not None:
-            found = compiler._join(f, found, None, False)
+        """Each row keeps its matches; rows without one make the pattern, once for equal properties."""
+        parts, conditions = compiler.lift([c.part])
+        where = reduce(lambda x, y: Op("AND", x, y), conditions) if conditions else None
+        row = "merge row"
+        df = written(compiler._df(f).withColumn(row, F.monotonically_increasing_id()), "merge")
+        rows = Frame(df, {**f.scope, row: ValueVar(row, T.LongType())})
+
+        def matches() -> Frame:
+            return compiler._join(rows, compiler.patterns().frame(parts, rows.scope), where, False)
+
+        found = matches()
         found = Frame(written(found.df, "merge"), found.scope)
+        missing = df.join(found.df.select(row).distinct(), row, "left_anti")
+        e = Expressions(rows.scope, compiler.params, compiler.now)
+        values = {f"merge {k}": e(v).col for k, v in enumerate(v for n in (*c.part.nodes, *c.part.rels) for _, v in n.props)}
+        bound = {f"merge {n.var}": rows.scope[n.var].identity() for n in c.part.nodes if isinstance(rows.scope.get(n.var), NodeVar)}
+        keys = values | bound
+        missing = missing.withColumns(keys).dropDuplicates(list(keys)).drop(*keys) if keys else missing.limit(1)
+        missing = written(missing, "merge")
         if found.df.limit(1).count():
             self._assign(compiler, found, c.on_match, when)
-            return compiler._join(f, compiler.patterns().frame([c.part], f.scope), None, False) if not c.on_match else self._again(compiler, found), "merged", 0
-        made, _ = self.create(compiler, f, [c.part], when)
-        self._assign(compiler, made, c.on_create, when)
-        return self._again(compiler, made), "merged", 1
+        made = missing.count()
+        if made:
+            new, _ = self.create(compiler, Frame(missing, rows.scope), [c.part], when)
+            self._assign(compiler, new, c.on_create, when)
+        out = matches()
+        return Frame(out.df.drop(row), {v: b for v, b in out.scope.items() if v != row}), "merged", made
 
     def _again(self, compiler: Any, f: Frame) -> Frame:
         """The same rows, with the current versions of their nodes."""

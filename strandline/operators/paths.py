@@ -116,20 +116,24 @@ def earliest(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFram
     the later of its arrival and the edge's start, if the edge hasn't ended by its arrival (ending then is in time) and
     the next node is born by then. Labels are corrected until none improves; ties go to shorter, then lesser paths.
     """
+    # of open edges between two nodes, the one that starts first is as good as all
+    first = edges.where("until is null").groupBy("a", "b").agg(F.min("since").alias("since"))
+    edges = written(first.select("a", "b", "since", F.lit(None).cast(edges.schema["until"].dataType).alias("until")).unionByName(edges.where("until is not null").select("a", "b", "since", "until")), "edges")
+    nodes = written(nodes.select("id", "born"), "births")
     births = nodes.selectExpr("id as b", "born")
     start = sources.select("src").distinct().join(nodes, F.col("src") == F.col("id")).select("src", F.col("id").alias("node"), F.struct(F.col("born").alias("arrival"), F.lit(0).alias("length"), F.array("id").alias("node_ids")).alias("best"))
-    known = written(start, "labels")
-    changed = known
+    table = written(start, "labels")
+    known = changed = table
     while True:
         steps = changed.join(edges, changed["node"] == edges["a"]).where("until is null or until >= best.arrival")
         steps = steps.select("src", "b", F.greatest("best.arrival", F.coalesce("since", "best.arrival")).alias("arrival"), F.col("best.length").alias("length"), F.col("best.node_ids").alias("node_ids"))
         steps = steps.join(births, "b").where("born <= arrival")
-        steps = steps.groupBy("src", F.col("b").alias("node")).agg(F.min(F.struct("arrival", (F.col("length") + 1).alias("length"), F.concat("node_ids", F.array("b")).alias("node_ids"))).alias("offer"))
-        merged = known.join(steps, ["src", "node"], "full").select("src", "node", F.least("best", "offer").alias("best"), (F.col("offer").isNotNull() & (F.col("best").isNull() | (F.col("offer") < F.col("best")))).alias("better"))
+        offer = F.min(F.struct("arrival", (F.col("length") + 1).alias("length"), F.concat("node_ids", F.array("b")).alias("node_ids")))
+        steps = steps.groupBy("src", F.col("b").alias("node")).agg(offer.alias("offer"))
+        better = F.col("offer").isNotNull() & (F.col("best").isNull() | (F.col("offer") < F.col("best")))
+        merged = known.join(steps, ["src", "node"], "full").select("src", "node", F.least("best", "offer").alias("best"), better.alias("better"))
         now = written(merged, "labels")
-        changed = now.where("better").select("src", "node", "best")
+        forget(table)
+        table, known, changed = now, now.select("src", "node", "best"), now.where("better").select("src", "node", "best")
         if changed.limit(1).count() == 0:
-            return now.select("src", F.col("node").alias("dst"), F.col("best.arrival").alias("arrival"), F.col("best.node_ids").alias("node_ids")).where("src <> dst")
-        forget(known) if known is not now else None
-        known = now.select("src", "node", "best")
-        known._strandline_path = now._strandline_path  # type: ignore[attr-defined]
+            return known.select("src", F.col("node").alias("dst"), F.col("best.arrival").alias("arrival"), F.col("best.node_ids").alias("node_ids")).where("src <> dst")

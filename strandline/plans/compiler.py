@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from dataclasses import replace
 from functools import reduce
 from typing import TYPE_CHECKING, Any
 
@@ -144,7 +145,27 @@ class Compiler:
 
         return Patterns(self.graph.catalog, self.time, compare, **{k: v for k, v in self.options.items() if k in ("self_loops_twice", "per_path")})
 
+    @staticmethod
+    def lift(parts: list[Part]) -> tuple[list[Part], list[Expr]]:
+        """The parts without the inline properties that refer to variables, and those as conditions."""
+        conditions: list[Expr] = []
+        count = iter(range(10**6))
+
+        def plain(n: Any) -> Any:
+            bound = [(k, e) for k, e in n.props if variables(e)]
+            if not bound:
+                return n
+            n = replace(n, var=n.var or f"inline {next(count)}", props=tuple((k, e) for k, e in n.props if not variables(e)))
+            conditions.extend(Op("=", Prop(Var(n.var), k), e) for k, e in bound)
+            return n
+
+        return [replace(p, nodes=tuple(map(plain, p.nodes)), rels=tuple(map(plain, p.rels))) for p in parts], conditions
+
     def _match(self, frame: Frame, c: Clause, where: Expr | None, similar: Clause | None) -> Frame:
+        parts, lifted = self.lift(c.parts)
+        if lifted:
+            c = Clause(c.kind, {**c.fields, "parts": parts})
+            where = reduce(lambda x, y: Op("AND", x, y), lifted if where is None else [where, *lifted])
         special = [p for p in c.parts if p.function]
         if special:
             found, where = self._paths(frame, c.parts, where)

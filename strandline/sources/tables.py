@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.graph import Graph
 from strandline.operators.temporal import chain
+from strandline.sources.catalog import Catalog
 
 CLOCK = datetime.datetime(2024, 2, 1)
 
@@ -33,7 +34,20 @@ def follows(events: DataFrame) -> DataFrame:
     return out.where("dst is not null").withColumn("valid_to", F.lit(None).cast("timestamp_ntz"))
 
 
+_catalogs: dict[tuple[str, str], Catalog] = {}
+
+
 def tpch_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The tables in a folder as a graph; its plans are made once for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _catalogs:
+        _catalogs[key] = _tables(spark, sf_dir).catalog
+    g = Graph(spark, clock=CLOCK)
+    g.catalog = _catalogs[key].copy()
+    return g
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> Graph:
     """Region, Nation, Customer, Supplier, Part, Order, Document, Label, Page, User, EventType and Vec nodes, and their
     relationships. Nothing is read before a query needs it, and then only the columns that it names."""
     t = lambda name: table(spark, sf_dir, name)
