@@ -37,8 +37,9 @@ def _chars(text: Column) -> Column:
 def _repeat_words(words: Column, window: int) -> Column:
     """Words that lie in a window of that many words found twice or more, the first one included.
 
-    Window hashes, built by doubling, show whether any two windows can be equal. Only then are the windows themselves
-    sorted: neighbours that are equal give the starts, and a start covers the words before the next one, at most window.
+    Window hashes, built by doubling, show whether any two windows can be equal. Only then are they sorted: neighbours
+    with equal hashes are held against each other word by word, and if one such pair differs the windows themselves are
+    sorted. A start covers the words before the next one, at most window.
     """
     if window != 8:
         raise ValueError("the doubling is for windows of eight words")
@@ -46,31 +47,42 @@ def _repeat_words(words: Column, window: int) -> Column:
     def doubled(h: Column, step: int) -> Column:
         return F.zip_with(h, F.slice(h, step + 1, F.size(h)), lambda a, b: F.xxhash64(a, b))
 
-    def starts(s: Column) -> Column:
-        twin = F.filter(s, lambda x, k: (x["g"] == F.get(s, k - 1)["g"]) | (x["g"] == F.get(s, k + 1)["g"]))
-        return F.sort_array(F.transform(twin, lambda x: x["i"]))
+    def twins(s: Column) -> Column:
+        return F.filter(s, lambda x, k: (x["g"] == F.get(s, k - 1)["g"]) | (x["g"] == F.get(s, k + 1)["g"]))
 
-    def covered(at: Column) -> Column:
-        steps = F.zip_with(at, F.slice(at, 2, F.size(at) + 1), lambda a, b: F.least(F.coalesce(b - a, F.lit(window)), F.lit(window)))
-        return F.aggregate(steps, F.lit(0), lambda x, y: x + y)
+    def covered(twin: Column) -> Column:
+        def steps(at: Column) -> Column:
+            widths = F.zip_with(at, F.slice(at, 2, F.size(at) + 1), lambda a, b: F.least(F.coalesce(b - a, F.lit(window)), F.lit(window)))
+            return F.aggregate(widths, F.lit(0), lambda x, y: x + y)
 
-    def exact(w: Column) -> Column:
+        return let(F.sort_array(F.transform(twin, lambda x: x["i"])), steps)
+
+    def by_text(w: Column) -> Column:
         grams = F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.struct(F.array_join(F.slice(w, i, window), " ").alias("g"), i.alias("i")))
-        return let(let(F.sort_array(grams), starts), covered)
+        return covered(let(F.sort_array(grams), twins))
+
+    def by_hash(w: Column, h: Column) -> Column:
+        def verified(t: Column) -> Column:
+            same = lambda a, b: F.slice(w, a["i"], window) == F.slice(w, b["i"], window)
+            pairs = F.zip_with(t, F.slice(t, 2, F.size(t) + 1), lambda a, b: b.isNull() | (a["g"] != b["g"]) | same(a, b))
+            return F.when(F.forall(pairs, lambda x: x), covered(t)).otherwise(by_text(w))
+
+        marked = F.transform(h, lambda x, i: F.struct(x.alias("g"), (i + 1).alias("i")))
+        return let(let(F.sort_array(marked), twins), verified)
 
     def of(w: Column) -> Column:
-        hashes = F.transform(w, lambda x: F.xxhash64(x))
-        for step in (1, 2, 4):
-            hashes = let(hashes, lambda h, step=step: doubled(h, step))
+        # each lambda takes one argument: a second one would be given the place in the list
+        hashes = let(let(doubled(w, 1), lambda h: doubled(h, 2)), lambda h: doubled(h, 4))
         full = let(hashes, lambda h: F.slice(h, 1, F.size(w) - (window - 1)))
-        return F.when(F.size(w) <= window, 0).otherwise(let(full, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(exact(w))))
+        return F.when(F.size(w) <= window, 0).otherwise(let(full, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(by_hash(w, h))))
 
     return let(words, of)
 
 
-def line_passes(line: Column, menu_share: float = 0.2, max_marks: float = 0.3) -> Column:
+def line_passes(line: Column, marked: Column | None = None, menu_share: float = 0.2, max_marks: float = 0.3) -> Column:
     """Whether a line stays: it ends as prose does and has at most max_marks noise marks a word; it isn't a menu (two
-    or more separating marks, and one for menu_share of its words); it has no boilerplate phrase."""
+    or more separating marks, and one for menu_share of its words); it has no boilerplate phrase. marked: whether its
+    document has any such mark, which spares the lines of one that has none."""
     prose = F.right(F.rtrim(line, F.lit(" \t\n\r\x0b\x0c" + CLOSING)), F.lit(1)).isin(LINE_END)
     marks = F.regexp_replace(line, f"[^{NOISE_MARKS}{MENU_MARKS}]+", "")
 
@@ -80,7 +92,8 @@ def line_passes(line: Column, menu_share: float = 0.2, max_marks: float = 0.3) -
         return (F.length(m) > max_marks * words) | (menu >= 2) & (menu >= menu_share * words)
 
     boiler = let(F.lower(line), lambda x: reduce(or_, [x.contains(p) for p in BOILERPLATE]))
-    return prose & ~let(marks, noisy) & ~boiler
+    passes = ~let(marks, noisy)
+    return prose & (passes if marked is None else F.when(marked, passes).otherwise(True)) & ~boiler
 
 
 def quality_rules(
@@ -97,19 +110,22 @@ def quality_rules(
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     clash = "__strandline_"
     step = docs.withColumns(
-        {f"{clash}words": _words(text), f"{clash}lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))}
+        {f"{clash}marked": text.rlike(f"[{NOISE_MARKS}{MENU_MARKS}]"), f"{clash}words": _words(text), f"{clash}lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))}
     )
     words, lines = F.col(f"{clash}words"), F.col(f"{clash}lines")
     out = step.withColumns(
         {
             "n_words": F.size(words).cast("long"),
-            "word_chars": _chars(text).cast("long"),
+            "word_chars": F.length(F.array_join(words, "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             "n_repeat_words": _repeat_words(words, window).cast("long"),
-            "clean_text": F.array_join(F.filter(lines, lambda x: line_passes(x)), "\n"),
+            f"{clash}clean": F.filter(lines, lambda x: line_passes(x, F.col(f"{clash}marked"))),
         }
-    ).drop(f"{clash}words", f"{clash}lines")
+    )
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")))
-    out = out.withColumn("clean_chars", _chars(F.col("clean_text")).cast("long"))
+    clean = F.col(f"{clash}clean")
+    all_pass = F.size(clean) == F.size(lines)
+    out = out.withColumns({"clean_text": F.array_join(clean, "\n"), "clean_chars": F.when(all_pass, F.col("word_chars")).otherwise(_chars(F.array_join(clean, "")).cast("long"))})
+    out = out.drop(*(f"{clash}{n}" for n in ("marked", "words", "lines", "clean")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("word_chars") - F.col("clean_chars") <= max_loss * F.col("word_chars")))
