@@ -1,7 +1,8 @@
 """Packing into sequences by order-preserving dynamic programming (operator 4).
 
 The documents' tokens, in the order of their ids, are one stream. A window of the stream becomes a sequence; cuts may
-lie at ends of documents and of sentences, and, where a sentence is longer than a sequence, inside it. A window costs
+lie at ends of documents, of sentences and, dearer, of their clauses, and, where a clause is longer than a sequence,
+inside it. A window costs
 its padding, and a cut inside a document a penalty. The cheapest cuts come from f(j) = min f(i) + pad(i, j) + penalty(j)
 over windows of at most size tokens: pad is size - (p(j) - p(i)), so the minimum over i is a sliding minimum of
 f(i) + p(i), kept in a monotone queue; windows whose length is a power of two need no padding and are tried beside it.
@@ -22,17 +23,19 @@ from pyspark.sql import functions as F
 from .common import only, small_batches
 from .encoding import CachedEncoder
 
-#: What the last token of a sentence ends with.
+#: What the last token of a sentence ends with, and that of a clause.
 SENTENCE_END = (".", "!", "?", "…", "\n", '."', '!"', '?"', ".)", ".'")
+CLAUSE_END = (",", ";", ":", " |")
+DOCUMENT, SENTENCE, CLAUSE, HARD = 1, 2, 3, 4
 
 
 @lru_cache(4)
-def sentence_ends(tokenizer: str) -> np.ndarray:
-    """For each id, whether a sentence may end with it."""
+def token_ends(tokenizer: str) -> np.ndarray:
+    """For each id, SENTENCE or CLAUSE if one may end with it, else 0."""
     t = CachedEncoder.of(tokenizer).tokenizer
     n = t.get_vocab_size()
     texts = t.decode_batch([[i] for i in range(n)], skip_special_tokens=False)
-    return np.array([x.endswith(SENTENCE_END) for x in texts])
+    return np.array([SENTENCE if x.endswith(SENTENCE_END) else CLAUSE if x.endswith(CLAUSE_END) else 0 for x in texts], np.int8)
 
 
 def best_cuts(points: list[int], penalty: list[int], size: int, least_power: int = 64) -> list[int]:
@@ -79,22 +82,20 @@ def best_cuts(points: list[int], penalty: list[int], size: int, least_power: int
     return out[::-1]
 
 
-def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, size: int, sentence_cut: int, hard_cut: int) -> tuple[list[int], list[int]]:
-    """Places where a window may end, and the penalty of each: none at a document's end, sentence_cut at a sentence's;
-    where two such places are more than size apart, every size tokens between them at hard_cut."""
-    kind = np.zeros(len(ids) + 1, np.int8)
-    kind[np.flatnonzero(ends_sentence[ids]) + 1] = 2
-    kind[doc_ends] = 1
-    kind[0] = 1
+def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, size: int, penalties: tuple[int, int, int]) -> tuple[list[int], list[int]]:
+    """Places where a window may end, and the penalty of each: none at a document's end, penalties at a sentence's and
+    a clause's; where two such places are more than size apart, every size tokens between them at the last one."""
+    kind = np.append(np.int8(DOCUMENT), ends[ids])
+    kind[doc_ends] = DOCUMENT
     places = np.flatnonzero(kind)
     for k in np.flatnonzero(np.diff(places) > size).tolist():
-        kind[places[k] + size : places[k + 1] : size] = 3
+        kind[places[k] + size : places[k + 1] : size] = HARD
     places = np.flatnonzero(kind)
-    return places.tolist(), np.array([0, 0, sentence_cut, hard_cut])[kind[places]].tolist()
+    return places.tolist(), np.array([0, 0, *penalties])[kind[places]].tolist()
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, *, size: int = 1024, end_id: int = 0, sentence_cut: int = 4, hard_cut: int = 64, block: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, *, size: int = 1024, end_id: int = 0, penalties: tuple[int, int, int] = (2, 6, 64), block: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row for each piece: id_col, start (its document's ids before it), length, ids_crc32, doc_tokens (with the
     end id), sequence_id, offset (in the sequence, gapless from 0).
@@ -108,7 +109,7 @@ def pack(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table, end = CachedEncoder.of(tokenizer), sentence_ends(tokenizer), np.uint32(end_id).tobytes()
+        encoder, table, end = CachedEncoder.of(tokenizer), token_ends(tokenizer), np.uint32(end_id).tobytes()
         sequence = TaskContext.get().partitionId() << 40
         names: list = []
         texts: list[bytes] = []
@@ -121,7 +122,7 @@ def pack(
             lengths = np.array([len(t) // 4 for t in texts], np.int64)
             ends = np.cumsum(lengths)
             begins = ends - lengths
-            points, penalty = cut_points(ids, ends, table, size, sentence_cut, hard_cut)
+            points, penalty = cut_points(ids, ends, table, size, penalties)
             cuts = np.array([points[i] for i in best_cuts(points, penalty, size)], np.int64)
             starts = np.union1d(begins, cuts[:-1])
             stops = np.append(starts[1:], len(ids))
