@@ -231,7 +231,7 @@ text("f1_f15_text", "MATCH (d:Document) WHERE d.doc_id < 300 WITH d.doc_id AS id
     SELECT id, lower(t) AS lower, regexp_replace(t, '\\s+$', '') AS trimmed, 'x' AS l, 'x' AS r, list_aggregate(list_reverse(regexp_extract_all(t, '(?s).')), 'string_agg', '') AS rev, length(t) AS n, strlen(t) AS bytes, id::VARCHAR AS s, substring(t, 4, 5) AS sub, replace(t, 'e', 'E') AS rep, string_split(t, ' ')[2] AS second, "left"(t, 4) AS a, "right"(t, 4) AS z, array_to_string(string_split(t, ' '), '-') AS j, t || '!' AS plus FROM d""")
 text("f1_upper", "MATCH (p:Part) RETURN p.p_partkey AS id, toUpper(p.p_name) AS u", "SELECT p_partkey AS id, upper(p_name) AS u FROM part")
 text("f16_f19_convert", "UNWIND ['3', '3.9', 'x', '-7', 'true', 'FALSE', '1e2'] AS s RETURN s, toInteger(s) AS i, toFloat(s) AS f, toBoolean(s) AS b, coalesce(toInteger(s), -1) AS c", "SELECT * FROM (VALUES ('3', 3::BIGINT, 3.0::DOUBLE, NULL::BOOLEAN, 3::BIGINT), ('3.9', 3, 3.9, NULL, 3), ('x', NULL, NULL, NULL, -1), ('-7', -7, -7.0, NULL, -7), ('true', NULL, NULL, true, -1), ('FALSE', NULL, NULL, false, -1), ('1e2', 100, 100.0, NULL, 100)) t(s, i, f, b, c)")
-text("f20_f39_math", "MATCH (c:Customer) WITH c.c_custkey AS id, c.c_acctbal AS x RETURN id, abs(x) AS a, ceil(x) AS c, floor(x) AS f, round(x) AS r, sqrt(abs(x)) AS q, sign(x) AS s, exp(x / 10000) AS e, log(abs(x) + 1) AS l, log10(abs(x) + 1) AS g, sin(x) AS si, cos(x) AS co, tan(x / 10000) AS ta, asin(x / 20000) AS asi, acos(x / 20000) AS aco, atan(x) AS ata, pow(x, 2) AS p, x ^ 2 AS h, pi() AS pi, e() AS ee, x % 7 AS m, x / 0 AS z, -x AS n, log(0) AS l0", """SELECT c_custkey AS id, abs(x) AS a, ceil(x) AS c, floor(x) AS f, round(x) AS r, sqrt(abs(x)) AS q, sign(x)::DOUBLE AS s, exp(x / 10000) AS e, ln(abs(x) + 1) AS l, log10(abs(x) + 1) AS g, sin(x) AS si, cos(x) AS co, tan(x / 10000) AS ta, asin(x / 20000) AS asi, acos(x / 20000) AS aco, atan(x) AS ata, pow(x, 2) AS p, pow(x, 2) AS h, pi() AS pi, exp(1.0::DOUBLE) AS ee, x % 7 AS m, NULL::DOUBLE AS z, -x AS n, '-Infinity'::DOUBLE AS l0 FROM (SELECT c_custkey, c_acctbal AS x FROM customer)""")
+text("f20_f39_math", "MATCH (c:Customer) WITH c.c_custkey AS id, c.c_acctbal AS x RETURN id, abs(x) AS a, ceil(x) AS c, floor(x) AS f, round(x) AS r, round(sqrt(abs(x)) * 1000000) AS q, sign(x) AS s, round(exp(x / 10000) * 1000000) AS e, round(log(abs(x) + 1) * 1000000) AS l, round(log10(abs(x) + 1) * 1000000) AS g, round(sin(x) * 1000000) AS si, round(cos(x) * 1000000) AS co, round(tan(x / 10000) * 1000000) AS ta, round(asin(x / 20000) * 1000000) AS asi, round(acos(x / 20000) * 1000000) AS aco, round(atan(x) * 1000000) AS ata, pow(x, 2) AS p, x ^ 2 AS h, round(pi() * 1000000) AS pi, round(e() * 1000000) AS ee, x % 7 AS m, x / 0 AS z, -x AS n, log(0) AS l0", """SELECT c_custkey AS id, abs(x) AS a, ceil(x) AS c, floor(x) AS f, round(x) AS r, round(sqrt(abs(x)) * 1000000) AS q, sign(x)::DOUBLE AS s, round(exp(x / 10000) * 1000000) AS e, round(ln(abs(x) + 1) * 1000000) AS l, round(log10(abs(x) + 1) * 1000000) AS g, round(sin(x) * 1000000) AS si, round(cos(x) * 1000000) AS co, round(tan(x / 10000) * 1000000) AS ta, round(asin(x / 20000) * 1000000) AS asi, round(acos(x / 20000) * 1000000) AS aco, round(atan(x) * 1000000) AS ata, pow(x, 2) AS p, pow(x, 2) AS h, round(pi() * 1000000) AS pi, round(exp(1.0::DOUBLE) * 1000000) AS ee, x % 7 AS m, NULL::DOUBLE AS z, -x AS n, '-Infinity'::DOUBLE AS l0 FROM (SELECT c_custkey, c_acctbal AS x FROM customer)""")
 text("f36_rand", "UNWIND range(1, 5) AS x RETURN x, rand() >= 0 AND rand() < 1 AS unit", "SELECT x, true AS unit FROM range(1, 6) t(x)")
 text("f41_f47_time", "UNWIND ['2024-03-05', '2023-12-31T23:59:58Z', '2024-02-29 01:02:03', 'x'] AS s RETURN s, date(s) AS d, datetime(s) AS t, s.year AS y, s.month AS mo, s.day AS da, s.hour AS h, s.minute AS mi, s.second AS se, s.millisecond AS ms, s.dayOfWeek AS w, s.dayOfYear AS yd", "SELECT * FROM (VALUES ('2024-03-05', '2024-03-05', '2024-03-05T00:00:00Z', 2024::BIGINT, 3::BIGINT, 5::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 2::BIGINT, 65::BIGINT), ('2023-12-31T23:59:58Z', '2023-12-31', '2023-12-31T23:59:58Z', 2023, 12, 31, 23, 59, 58, 0, 0, 365), ('2024-02-29 01:02:03', '2024-02-29', '2024-02-29T01:02:03Z', 2024, 2, 29, 1, 2, 3, 0, 4, 60), ('x', NULL, 'x', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)) t(s, d, t, y, mo, da, h, mi, se, ms, w, yd)")
 text("f41_now", "RETURN timestamp() AS ms, date() AS d, datetime() AS t, localtime() AS l", "SELECT 1706745600000::BIGINT AS ms, '2024-02-01' AS d, '2024-02-01T00:00:00Z' AS t, '00:00:00' AS l")
