@@ -1,8 +1,9 @@
 """WARC archives, written and read back by boundary chains (operator 5).
 
-Records are compressed one by one, as archives usually are, or stored plain. Reading splits an archive into byte ranges. A task finds every place in its range where the version line of a record (or the
-first bytes of a compressed one) stands, reads the record there and emits the place with its successor: where the next record must start if this one is
-real. Payloads may hold that line too, and whole records even, so places prove nothing by themselves: pointer jumping
+Records are compressed one by one, as archives usually are, or stored plain. Reading splits an archive into byte ranges.
+A task finds every place in its range where the version line of a record (or the first bytes of a compressed one)
+stands, reads the record there and emits the place with its successor: where the next record must start if this one is
+real. Payloads may hold such bytes too, and whole records even, so places prove nothing by themselves: pointer jumping
 from the start of each file keeps those that the chain reaches, doubling the jump each round.
 """
 
@@ -158,10 +159,9 @@ def _compressed(f: pa.NativeFile, at: int, size: int) -> tuple[dict[str, str], b
 
 def candidates(spark: SparkSession, uri: str, files: list[tuple[str, int]], split: int = 1 << 23) -> DataFrame:
     """file (its number), off, next, and the record's fields as read, for every place where a record can be read,
-    whether one was written there or not. One task for each split of so many bytes; it holds its split and a record."""
+    whether one was written there or not. Splits of so many bytes are dealt to tasks; a task holds one
+    split and one record at a time."""
     small_batches(spark, 8192)
-    names = [n for n, _ in files]
-    splits = [(i, n, size, a, min(a + split, size)) for i, (n, size) in enumerate(files) for a in range(0, size, split)]
     number = re.compile(r"<urn:page:(-?\d+)>").fullmatch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +185,10 @@ def candidates(spark: SparkSession, uri: str, files: list[tuple[str, int]], spli
                     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["file", "off", "next", "page", "bytes", "digest", "type", "refers"])
 
-    places = spark.createDataFrame(splits, "file int, name string, size long, a long, b long").repartition(max(1, len(splits)))
-    assert len(set(names)) == len(names)
+    listed = spark.createDataFrame([(i, n, size) for i, (n, size) in enumerate(files)], "file int, name string, size long")
+    count = sum(-(-size // split) for _, size in files)
+    places = listed.select("file", "name", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("a"))
+    places = places.withColumn("b", F.least(F.col("a") + split, F.col("size"))).repartition(min(max(1, count), 50_000), "file", "a")
     return places.mapInArrow(run, "file int, off long, next long, page long, bytes long, digest string, type string, refers long")
 
 
