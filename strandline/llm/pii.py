@@ -107,12 +107,7 @@ def iban(found: str, key: bytes) -> str | None:
 
 def address(found: str, key: bytes) -> str | None:
     parts = [int(x) for x in found.split(".")]
-    if max(parts) > 255 or parts == [0, 0, 0, 0] or parts[0] == 127:
-        return None
-    new = feistel(parts, [256] * 4, key, "ip")
-    while new == [0, 0, 0, 0] or new[0] == 127:
-        new = feistel(new, [256] * 4, key, "ip")
-    return ".".join(map(str, new))
+    return ".".join(map(str, feistel(parts, [256] * 4, key, "ip"))) if max(parts) <= 255 else None
 
 
 def phone(found: str, key: bytes) -> str | None:
