@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_batches, written
 
@@ -164,6 +165,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, gram: int | None = Non
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
+    arrow_kind = to_arrow_type(docs.schema[id_col].dataType)
     payload = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
     base = docs.select(F.col(f"`{id_col}`").alias("id"), payload.alias("data"))
     base = base.withColumn("sum", F.xxhash64("data"))
@@ -239,7 +241,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, gram: int | None = Non
                     spans.append({"id": r["id"], "sum": r["sum"], "a": r["first"] + int(a), "b": r["first"] + int(b) + length})
             at += n
         if spans:
-            yield pa.RecordBatch.from_pylist(spans, schema=pa.schema([("id", held_type(kind)), ("sum", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]))
+            yield pa.RecordBatch.from_pylist(spans, schema=pa.schema([("id", arrow_kind), ("sum", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]))
 
     span = f"id {kind}, sum long, a long, b long"
     ordered = opened.where(F.col("classes") <= most).repartitionByRange("lead", "gram").sortWithinPartitions("lead", "gram")
@@ -254,7 +256,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, gram: int | None = Non
                 half = length // 2
                 x, y = h.of(starts, starts + half).view(np.int64), h.of(starts + half, starts + length).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["id"]] * n, held_type(kind)), *(pa.array(v) for v in (np.full(n, row["sum"]), np.full(n, row["gram"]), row["back"] - starts, x, y, row["first"] + starts, np.full(n, row["n"])))],
+                    [pa.array([row["id"]] * n, arrow_kind), *(pa.array(v) for v in (np.full(n, row["sum"]), np.full(n, row["gram"]), row["back"] - starts, x, y, row["first"] + starts, np.full(n, row["n"])))],
                     names=["id", "sum", "gram", "distance", "x", "y", "at", "n"],
                 )
 
@@ -291,8 +293,3 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, gram: int | None = Non
 
     final = base.alias("d").join(merged.alias("m"), same_doc("d", "m"), "left").select("d.id", "d.data", "m.spans")
     return final.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
-
-
-def held_type(kind: str) -> pa.DataType:
-    """The Arrow type of an id column, from Spark's name for it."""
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
