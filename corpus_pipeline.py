@@ -11,7 +11,7 @@ from strandline.llm.mixing import mix
 from strandline.llm.packing import pack
 from strandline.llm.pii import pseudonyms
 from strandline.llm.quality import quality_rules
-from strandline.llm.simhash import near_duplicates
+from strandline.llm.similar import groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A deployment passes its own key, from where it keeps secrets.
@@ -28,9 +28,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near-duplicates; of rows that repeat its id, one."""
+    """The document with the least id of each group of near copies (five-word shingles, Jaccard 0.8 or more); of rows that
+    repeat its id, one."""
     docs = docs.select(*COLUMNS)
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
+    first = groups(docs).groupBy("group").agg(F.min("doc_id").alias("first")).select("first").distinct()
     return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
