@@ -11,7 +11,7 @@ from strandline.llm.mixing import mix
 from strandline.llm.packing import pack
 from strandline.llm.pii import pseudonyms
 from strandline.llm.quality import quality_rules
-from strandline.llm.similar import groups
+from strandline.llm.similar import groups, keyed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A deployment passes its own key, from where it keeps secrets.
@@ -28,11 +28,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies (five-word shingles, Jaccard 0.8 or more); of rows that
-    repeat its id, one."""
+    """One row of each group of near copies (five-word shingles, Jaccard 0.8 or more): that with the least id, null ids
+    last, and of its rows any one, but always the same. Equal ids or null ones make no copies."""
     docs = docs.select(*COLUMNS)
-    first = groups(docs).groupBy("group").agg(F.min("doc_id").alias("first")).select("first").distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row1", "row2")
+    first = groups(docs).groupBy("group").agg(F.min(order).alias("first")).select("first.row1", "first.row2")
+    return keyed(docs).join(first, ["row1", "row2"], "left_semi").dropDuplicates(["row1", "row2"]).select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

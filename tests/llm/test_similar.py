@@ -66,3 +66,10 @@ def test_stage_keeps_one_of_each_group(spark, texts):
 
 def test_no_rows(spark):
     assert similar.groups(empty(spark)).count() == 0
+
+
+def test_distinct_texts_under_null_or_equal_ids_stay(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a, "a"), (None, b, "a"), (1, b, "a"), (2, c, "a"), (2, d, "a"), (2, d, "a"), (3, c, "b"), (None, c, "a"), (4, None, "a"), (4, None, "a")]
+    kept = corpus_pipeline.near_dedup(spark, documents(spark, rows), "").collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted([("None", a), ("1", b), ("2", c), ("2", d), ("4", "None")])
