@@ -7,11 +7,13 @@ joins and aggregations over written tables.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Hashable
+from collections.abc import Hashable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandline.sources.shared import forget, written
 
@@ -67,20 +69,22 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = DAMPING, ro
     return now.select("id", F.round("score", 6).alias("score"))
 
 
-def local_louvain(ids: list, pairs: list[tuple], passes: int = PASSES) -> dict:
+def local_louvain(ids: list, pairs: list[tuple], passes: int = PASSES, total: float | None = None) -> dict:
     """Communities by id from the local moves of Louvain's method: nodes in the order of their ids move to the
     neighbouring community with the largest gain of modularity, the least one of equals, until a pass moves none.
-    Communities are numbered by first appearance. Edges are undirected, parallel ones weigh."""
+    Communities are numbered by first appearance. Edges are undirected, parallel ones weigh. total: the edges of the
+    whole graph, where ids are a part of it; by default those given."""
     ids = sorted(ids)
     place = {v: k for k, v in enumerate(ids)}
     near: list[dict[int, float]] = [defaultdict(float) for _ in ids]
-    total = 0.0
+    found = 0.0
     for a, b in pairs:
         if a in place and b in place:
             i, j = place[a], place[b]
-            total += 1
+            found += 1
             near[i][j] += 1
             near[j][i] += 1
+    total = found if total is None else total
     degree = [sum(x.values()) for x in near]
     home, weight = list(range(len(ids))), list(degree)
     for _ in range(passes if total else 0):
@@ -106,29 +110,40 @@ def local_louvain(ids: list, pairs: list[tuple], passes: int = PASSES) -> dict:
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, *, passes: int = PASSES, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """id, community (long). Communities never cross components, so a larger graph is split into its components and
-    each is computed in a task; a component must fit into one. There, communities are named by their least member's
-    place in the order of ids of its component, after the components' order."""
+    """id, community (long), numbered by first appearance in the order of ids. Communities never cross components, so a larger graph is split into its components and
+    each is computed in a task, by the whole graph's number of edges; a component must fit into one."""
     spark = nodes.sparkSession
     kind = nodes.schema["id"].dataType.simpleString()
     members = nodes.select("id").distinct()
     inside = written(edges.join(members.withColumnRenamed("id", "a"), "a", "left_semi").join(members.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"), "edges")
-    if inside.count() <= local_edges and members.limit(local_edges + 1).count() <= local_edges:
+    total = inside.count()
+    if total <= local_edges and members.limit(local_edges + 1).count() <= local_edges:
         found = local_louvain([r.id for r in members.collect()], [(r.a, r.b) for r in inside.collect()], passes)
         return spark.createDataFrame(list(found.items()), f"id {kind}, community long")
     roots = components(members, inside)
-    rows = inside.join(roots, inside["a"] == roots["id"]).select("root", "a", "b").unionByName(roots.selectExpr("root", "id as a", "id as b"))
-
-    def one(key, frame):
-        import pandas as pd
-
-        ids = sorted(set(frame["a"]) | set(frame["b"]))
-        real = frame[frame["a"] != frame["b"]]
-        found = local_louvain(ids, list(zip(real["a"], real["b"], strict=True)), passes)
-        return pd.DataFrame({"id": list(found), "root": key[0], "local": list(found.values())})
-
-    parts = rows.groupBy("root").applyInPandas(one, f"id {kind}, root {kind}, local long")
-    return parts.select("id", F.xxhash64("root", "local").alias("community"))
+    # a row without b is a node, any other an edge
+    rows = inside.join(roots, inside["a"] == roots["id"]).select("root", "a", "b").unionByName(roots.selectExpr("root", "id as a", f"cast(null as {kind}) as b"))
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, ids, pairs = None, [], []
+        for b in batches:
+            for r, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                root = r
+                ids.append(x) if y is None else pairs.append((x, y))
+        members, least = local_louvain(ids, pairs, passes, total), {}
+        for i in sorted(members):
+            least.setdefault(members[i], i)
+        yield pa.RecordBatch.from_arrays([pa.array(list(members), t), pa.array([least[c] for c in members.values()], t)], names=["id", "least"])
+
+    t = to_arrow_type(nodes.schema["id"].dataType)
+    parts = written(rows.groupBy("root").applyInArrow(one, f"id {kind}, least {kind}"), "communities")
+    # numbers by first appearance in the order of ids: row numbers by ranges, offset by the rows of the ranges before
+    firsts = parts.select("least").distinct().orderBy("least").select("least", F.spark_partition_id().alias("part"))
+    firsts = written(firsts.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("least"))), "firsts")
+    sizes = firsts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbers = firsts.join(F.broadcast(offsets), "part").select("least", (F.col("before") + F.col("k") - 1).cast("long").alias("community"))
+    return parts.join(numbers, "least").select("id", "community")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
