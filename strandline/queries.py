@@ -371,3 +371,35 @@ def x6_validate(spark, sf_dir):
     return spark.createDataFrame([(good("MATCH (n) RETURN n"), good("MATCH (n RETURN n"))], "good boolean, bad boolean")
 
 
+
+
+# the same over whole tables and texts, beside the queries above that take a part of them
+
+for _name, _cuts, _options in [
+    ("f1_f15_text", [(" WHERE d.doc_id < 300", ""), ("left(d.text, 40) AS t", "d.text AS t"), ('"left"(text, 40) AS t', "text AS t"), (" WHERE doc_id < 300", "")], {}),
+    ("wn3_version_chain", [(" WHERE u.id < 20", ""), (" WHERE user_id < 20", "")], {"time": "all"}),
+    ("r14_unwind_property", [(" WHERE p.p_partkey < 50", ""), (" WHERE p_partkey < 50", "")], {}),
+    ("j4_types", [(" WHERE o.o_orderkey < 100", ""), (" WHERE o_orderkey < 100", "")], {}),
+    ("j11_varlen_exact", [(" WHERE a.id < 5", ""), ("x.src < 5 AND ", "")], {}),
+    ("g6_all_shortest", [(" WHERE b.id < 30", ""), ("p.id < 30 AND ", "")], {}),
+    ("r7_nulls_last", [(" LIMIT 600", "")], {}),
+]:
+    _query, _sql = QUERIES[_name].__doc__ or "", ORACLE_SQL[_name]
+    for _cut, _instead in _cuts:
+        _query, _sql = _query.replace(_cut, _instead), _sql.replace(_cut, _instead)
+    text(f"{_name}_whole", _query, _sql, **_options)
+
+
+@code("s7_timeline_whole")
+def s7_timeline_whole(spark, sf_dir):
+    return tpch_graph(spark, sf_dir).timeline()
+
+
+@code("s9_stats_whole")
+def s9_stats_whole(spark, sf_dir):
+    return tpch_graph(spark, sf_dir).stats()
+
+
+@code("s15_export_whole")
+def s15_export_whole(spark, sf_dir):
+    return tpch_graph(spark, sf_dir).export()
