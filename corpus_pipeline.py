@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import written
+from strandline.llm.common import where_known, written
 from strandline.llm.mixing import mix
 from strandline.llm.packing import pack
 from strandline.llm.pii import pseudonyms
@@ -24,7 +24,7 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that fail."""
-    return _documents(quality_rules(docs.select(*COLUMNS)).where("kept").withColumn("text", F.col("clean_text")))
+    return _documents(where_known(quality_rules(docs.select(*COLUMNS)), F.col("kept")).withColumn("text", F.col("clean_text")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

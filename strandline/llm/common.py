@@ -83,6 +83,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def where_known(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition) after df's columns are computed. Catalyst would push the filter below them and compute there,
+    again, all that the condition needs; a column that isn't deterministic keeps it above."""
+    mark = "__strandline_fence"
+    return df.withColumn(mark, F.rand(0)).where(condition & (F.col(mark) >= 0)).drop(mark)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that no further column of the input can clash with what an operator adds."""
     return df.select(*(F.col(f"`{n}`") for n in names))
