@@ -7,15 +7,14 @@ within the radius differ in at most radius groups, so they agree in at least two
 grid cell of such a pair of groups. Inside a cell, pairs are held against the Manhattan bound first and then verified
 by the exact Hamming distance.
 
-A cell with more members than dense (near copies that share almost every bit) isn't compared pair by pair: there each
-fingerprint is dealt to the points that differ from it in one bit at most (for radius 2), and those that meet at a
-point are linked to the least of them. Two fingerprints differ in two bits or fewer exactly if such balls meet, so this
-finds the same components in linear space.
+A cell of many members (near copies that share almost every bit) is gridded again over the bits that its members may
+still differ in, by the same rule, until few are left together: the same pairs meet, in finer cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,28 +28,32 @@ from .components import components
 SEGMENT_BITS = 2
 
 
-def simhash(texts: list[str | None], shingle: int = 3) -> np.ndarray:
-    """Fingerprints (uint64). A-Z lower-cased; words are runs without ASCII white space; shingles count as often as
-    they occur, fewer words are one shingle, no words give zero. A bit is 1 if set in over half of the hashes."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 hashes (seed 42, uint64) of a text's shingles, at most 65,536 at once. A-Z lower-cased; words are runs
+    without ASCII white space; shingles count as often as they occur; fewer words are one, no words give none."""
     import xxhash
 
+    digest = xxhash.xxh64_intdigest
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if 0 < len(words) <= shingle:
+        yield np.array([digest(b" ".join(words), 42)], "<u8")
+        return
+    total = len(words) - shingle + 1
+    for first in range(0, total, 65536):
+        last = min(first + 65536, total)
+        grams = map(b" ".join, zip(*(words[first + i : last + i] for i in range(shingle)), strict=True))
+        yield np.fromiter((digest(g, 42) for g in grams), "<u8", last - first)
+
+
+def simhash(texts: list[str | None], shingle: int = 3) -> np.ndarray:
+    """Fingerprints (uint64). A bit is 1 if set in over half of the shingles' hashes; no words give zero."""
     out = np.zeros(len(texts), np.uint64)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    digest = xxhash.xxh64_intdigest
     for at, text in enumerate(texts):
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            continue
-        if len(words) <= shingle:
-            out[at] = digest(b" ".join(words), 42)
-            continue
-        ones = np.zeros(64, np.int64)
-        total = len(words) - shingle + 1
-        for first in range(0, total, 65536):  # bounds memory on very long texts
-            last = min(first + 65536, total)
-            grams = map(b" ".join, zip(*(words[first + i : last + i] for i in range(shingle)), strict=True))
-            hashes = np.fromiter((digest(g, 42) for g in grams), "<u8", last - first)
+        ones, total = np.zeros(64, np.int64), 0
+        for hashes in shingle_hashes(text, shingle):
             ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            total += len(hashes)
         out[at] = weights[ones * 2 > total].sum(dtype=np.uint64)
     return out
 
@@ -85,42 +88,52 @@ def _manhattan(a: str, b: str) -> str:
     return f"(bit_count({low}) + 2 * bit_count({high} & ~{low}))"
 
 
-def links(fps: DataFrame, radius: int = 2, dense: int = 256) -> DataFrame:
-    """a, b (longs, a < b): links between distinct fingerprints (column fp, unique) whose transitive closure is that
-    of all pairs within radius bits. Pairs in cells of at most dense members are those within the radius themselves."""
+def _slabs(bits: list[int], radius: int) -> list[int]:
+    """Masks of pairs of groups, of radius + 2 groups of the given segments (by their first bits)."""
+    groups = radius + 2
+    masks = [sum(3 << i for i in bits[g * len(bits) // groups : (g + 1) * len(bits) // groups]) for g in range(groups)]
+    return [a | b for a, b in combinations(masks, 2)]
+
+
+def links(fps: DataFrame, radius: int = 2, dense: int = 64) -> DataFrame:
+    """a, b (longs, a < b): all pairs of distinct fingerprints (column fp, unique) within radius bits, each once.
+
+    Cells of more than dense members are gridded again, inside, over the segments that they don't fix: for radius 2, 16,
+    8, 4 and 2 of the 32 segments are left free. A count of a level's cells says whether there is a next one.
+    """
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2")
     if radius == 0:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    groups, width = radius + 2, 64 // (radius + 2) // SEGMENT_BITS * SEGMENT_BITS
-    masks = []
-    for g in range(groups):
-        bits = range(g * width, 64 if g == groups - 1 else (g + 1) * width)
-        masks.append(sum(1 << i for i in bits))
-    slabs = [a | b for a, b in combinations(masks, 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in slabs]
-    cells = fps.selectExpr("fp", f"{_embedding('fp')} as e").selectExpr(
-        "fp", "e", "posexplode(array(" + ", ".join(f"e & {m}L" if m >= 0 else f"e & ({m}L)" for m in signed) + ")) as (slab, cell)"
-    )
-    sizes = cells.groupBy("slab", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cells = written(cells.join(sizes, ["slab", "cell"]), "simhash-cells")
-    few, many = cells.where(F.col("n") <= dense), cells.where(F.col("n") > dense)
-    x, y = few.alias("x"), few.alias("y")
-    # equality of slab and cell is the grid; then the lower bound; then the exact distance
-    on = f"x.slab = y.slab and x.cell = y.cell and x.fp < y.fp and {_manhattan('x.e', 'y.e')} <= {radius} and bit_count(x.fp ^ y.fp) <= {radius}"
-    pairs = x.join(y, F.expr(on)).selectExpr("x.fp as a", "y.fp as b")
-    ball = ", ".join(["0L", *(f"shiftleft(1L, {i})" for i in range(64))])
-    if radius == 2:
-        points = many.select("fp").distinct().selectExpr("fp", f"explode(transform(array({ball}), f -> f ^ fp)) as point")
-        stars = points.groupBy("point").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        near = points.join(stars, "point").where("a < fp").selectExpr("a", "fp as b")
-    else:  # within one bit: one of the two is a point of the other's ball
-        members = many.select("fp").distinct()
-        near = members.selectExpr("fp as a", f"explode(transform(array({ball}), f -> f ^ fp)) as fp").where("a < fp").join(members, "fp").selectExpr("a", "fp as b")
-    return pairs.unionByName(near).distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, dense: int = 256) -> DataFrame:
+    # a cell is the mask of its fixed segments and their counts
+    rows = fps.selectExpr("fp", f"{_embedding('fp')} as e", "0L as mask")
+    found: list[DataFrame] = []
+    free = {0: list(range(0, 64, SEGMENT_BITS))}
+    while True:
+        finer = {m: _slabs(bits, radius) for m, bits in free.items()}
+        # at most 6, 36, 216 rows: the masks of a level are few and fixed
+        ways = fps.sparkSession.createDataFrame([(_signed(m), sorted({_signed(m | s) for s in slabs})) for m, slabs in finer.items()], "mask long, finer array<long>")
+        cells = rows.join(F.broadcast(ways), "mask").select("fp", "e", F.explode("finer").alias("mask")).distinct().withColumn("cell", F.expr("e & mask"))
+        sizes = cells.groupBy("mask", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        cells = written(cells.join(sizes, ["mask", "cell"]), "simhash-cells")
+        free = {m | s: [i for i in free[m] if not s >> i & 1] for m, slabs in finer.items() for s in slabs}
+        last = all(len(bits) < radius + 2 for bits in free.values())
+        few = cells if last else cells.where(F.col("n") <= dense)
+        # equality of mask and cell is the grid; then the lower bound; then the exact distance
+        on = f"x.mask = y.mask and x.cell = y.cell and x.fp < y.fp and {_manhattan('x.e', 'y.e')} <= {radius} and bit_count(x.fp ^ y.fp) <= {radius}"
+        found.append(few.alias("x").join(few.alias("y"), F.expr(on)).selectExpr("x.fp as a", "y.fp as b"))
+        rows = cells.where(F.col("n") > dense).select("fp", "e", "mask")
+        if last or not rows.limit(1).count():
+            return reduce(DataFrame.unionByName, found).distinct()
+        held = {r["mask"] for r in cells.where(F.col("n") > dense).select("mask").distinct().collect()}
+        free = {m: bits for m, bits in free.items() if _signed(m) in held}
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, dense: int = 64) -> DataFrame:
     """One row for each row of docs: id_col, fingerprint (16 lower-case hex digits), component_id.
 
     component_id: the least id reachable over links of at most radius differing bits, the own one included. Equal

@@ -21,7 +21,7 @@ def test_components_of_documents(spark):
     assert out == components({i: fingerprint(t) for i, t, _ in DOCS})
 
 
-@pytest.mark.parametrize(("radius", "dense"), [(2, 256), (2, 3), (1, 256), (1, 3), (2, 1)])
+@pytest.mark.parametrize(("radius", "dense"), [(2, 64), (2, 3), (1, 64), (1, 3), (2, 1)])
 def test_links_close_like_all_pairs(spark, radius, dense):
     r = random.Random(radius * 10 + dense)
     fps = set()
@@ -50,8 +50,8 @@ def test_links_close_like_all_pairs(spark, radius, dense):
     real = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= radius]
     mine = [(p.a % (1 << 64), p.b % (1 << 64)) for p in got]
     assert closure(mine) == closure(real)
-    if dense == 256:
-        assert {frozenset(p) for p in mine} == {frozenset(p) for p in real}
+    # every pair once, however fine the grid becomes
+    assert len(mine) == len(real) and {frozenset(p) for p in mine} == {frozenset(p) for p in real}
 
 
 def test_bound_is_below_hamming(spark):
