@@ -42,13 +42,14 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once at least, those of rarer sources up to twice: the flattest mixture within that limit."""
-    return mix(docs.select(*COLUMNS), repetition_limit=2.0).select(*COLUMNS)
+    """Every document once at least, those of rarer sources up to twice: the flattest mixture within that limit. Rows lie
+    in the mixture's order, in which the next stage takes them."""
+    return mix(docs.select(*COLUMNS), repetition_limit=2.0, in_order=True).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences of 1,024 tokens."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """The pieces of packed sequences of 1,024 tokens, from documents in the order in which they are stored."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), by_id=False)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", pii), ("mixing", mixing), ("packing", packing)]

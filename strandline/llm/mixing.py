@@ -78,7 +78,7 @@ def temperature(sums: DataFrame, *, repetition_limit: float | None = None, targe
 
 def mix(
     docs: DataFrame, *, repetition_limit: float | None = 2.0, target_entropy: float | None = None, total_tokens: float | None = None, seed: int = 0,
-    block_docs: int = 1000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+    block_docs: int = 1000, in_order: bool = False, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
     """docs, each row as often as the mixture takes it, with epoch (from 0), block_order and doc_order (longs).
 
@@ -86,7 +86,9 @@ def mix(
     stops before the document that would exceed its budget, so a source's tokens miss its budget by less than one
     document (rows that tie in the permutation, such as repeated rows, are taken or left together). A null source is a
     source of its own; a null id is permuted by its text; a null or empty text counts as one word; an empty table
-    gives none. Columns of docs with one of the three new names are replaced.
+    gives none. Columns of docs with one of the three new names are replaced. in_order: rows are dealt by ranges of epoch,
+    block_order and doc_order and lie in that order, over all sources, so that a table written from them can be read as
+    the mixture's stream; copies of a document are an epoch apart.
 
     A source is dealt into blocks by hash, so that no task holds a source: sums are per source and block, the cut block
     alone is ordered by document, and documents meet a table with one row for each source, whose size the planner
@@ -141,4 +143,9 @@ def mix(
     copies = (whole + last.cast("int")).cast("int")
     epochs = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))
     out = met.withColumn("epoch", F.explode(epochs)).withColumns({"block_order": block_order(p, F.col("epoch").cast("long")), "doc_order": doc_order(p, F.col("epoch").cast("long"))})
-    return out.drop("__strandline_place", *(f"__strandline_{n}" for n in names))
+    out = out.drop("__strandline_place", *(f"__strandline_{n}" for n in names))
+    if not in_order:
+        return out
+    # repeated rows tie in the permutation: their place in the input deals them to several ranges
+    order = ["epoch", "block_order", "doc_order", "__strandline_row"]
+    return out.withColumn(order[-1], F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop(order[-1])

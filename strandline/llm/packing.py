@@ -95,12 +95,13 @@ def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, size: in
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, *, size: int = 1024, end_id: int = 0, penalties: tuple[int, int, int] = (2, 6, 64), block: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, *, size: int = 1024, end_id: int = 0, penalties: tuple[int, int, int] = (2, 6, 64), block: int = 1 << 19, by_id: bool = True, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row for each piece: id_col, start (its document's ids before it), length, ids_crc32, doc_tokens (with the
     end id), sequence_id, offset (in the sequence, gapless from 0).
 
-    Documents ascend by id (nulls first; equal ids by text), dealt by one range exchange. A task packs its range in
+    Documents ascend by id (nulls first; equal ids by text), dealt by one range exchange; without by_id they keep the
+    order in which docs is stored, and nothing is exchanged. A task packs its range in
     blocks of whole documents of about block tokens, which bounds its memory to a block and the longest document; a
     block's last window ends with it. A null or empty text is the end id alone; repeated rows are packed as often as
     they occur; an empty table gives no row. sequence_id ascends in the order of the documents, with gaps.
@@ -150,6 +151,8 @@ def pack(
         if texts:
             yield flush()
 
-    order = F.col(id_col).asc_nulls_first()
-    ordered = only(docs, id_col, text_col).repartitionByRange(order).sortWithinPartitions(order, F.col(text_col))
+    ordered = only(docs, id_col, text_col)
+    if by_id:
+        order = F.col(f"`{id_col}`").asc_nulls_first()
+        ordered = ordered.repartitionByRange(order).sortWithinPartitions(order, F.col(f"`{text_col}`"))
     return ordered.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("id", id_col)

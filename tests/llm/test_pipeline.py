@@ -2,7 +2,10 @@ import sys
 from pathlib import Path
 
 import pytest
-from brute import components, documents, fingerprint
+from brute import documents
+from test_similar import brute_groups
+
+from strandline.llm.common import written
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -21,16 +24,25 @@ def test_stages(spark):
     assert q.columns == docs.columns and set(kept) == {i for i, _, _ in rows} - {102, 103}
     assert kept[101] == rows[1][1]
     d = stages["near_dedup"](spark, q, "")
-    root = components({i: fingerprint(t) for i, t in kept.items()})
-    assert sorted(r.doc_id for r in d.collect()) == sorted(set(root.values()))
+    # 100 is a copy of 0 and 101 of 1; 104 is like 7 (40 of 49 shingles), the others have a sentence of their own
+    assert sorted(r.doc_id for r in d.collect()) == sorted(set(brute_groups(kept).values())) == list(range(60))
     p = stages["pii"](spark, d, "")
     texts = {r.doc_id: r for r in p.collect()}
     assert all("bob.smith@" not in r.text and r.n_chars == len(r.text) for r in texts.values())
     m = stages["mixing"](spark, p, "")
     assert {r.doc_id for r in m.collect()} == set(texts) and m.columns == docs.columns
+    m = written(m, "mixed")
+    stream = [r.doc_id for r in m.collect()]
     out = stages["packing"](spark, m, "").collect()
     assert {r.doc_id for r in out} == set(texts)
-    assert sum(r.length for r in out if r.start == 0) > 0
+    # the sequences hold the mixture's stream, and what comes twice comes an epoch apart
+    pieces = sorted(out, key=lambda r: (r.sequence_id, r.offset))
+    assert sorted(stream) == sorted(r.doc_id for r in pieces if r.start == 0)
+    for part in {r.sequence_id >> 40 for r in pieces}:
+        ids = [r.doc_id for r in pieces if r.sequence_id >> 40 == part and r.start == 0]
+        assert ids in [stream[k : k + len(ids)] for k in range(len(stream))]
+    twice = [i for i in set(stream) if stream.count(i) > 1]
+    assert twice and all(stream.index(i) < len(texts) <= len(stream) - 1 - stream[::-1].index(i) for i in twice)
 
 
 def test_empty(spark):
