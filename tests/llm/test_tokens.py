@@ -1,3 +1,5 @@
+import base64
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -131,17 +133,28 @@ def test_token_counts(spark):
     from strandline.llm.token_counts import PATTERN
 
     trie = UnigramTrie(RANKS)
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
+    total = sum(1 / (r + 256) for r in ranks.values())
+    cost = {p: round(1e6 * math.log((r + 256) * total)) for p, r in ranks.items()}
+    longest = max(map(len, ranks))
 
     def best(word):
-        scores = [0]
+        scores = [(0, 0)]
         for i in range(1, len(word) + 1):
-            scores.append(min(scores[j] + trie.cost[word[j:i]] for j in range(i) if word[j:i] in trie.cost))
+            scores.append(min((scores[j][0] + cost[word[j:i]], scores[j][1] + 1) for j in range(max(0, i - longest), i) if word[j:i] in cost))
         return scores[-1]
 
-    out = {r.doc_id: r for r in token_counts(documents(spark), RANKS).collect()}
-    for i, t, _ in DOCS:
+    r = random.Random(3)
+    docs = [*DOCS, (50, "".join(r.choice("acgt") for _ in range(9001)) + " " + "z" * 300, "a"), (51, "prefix prefixes prefixed pre", "a")]
+    out = {r.doc_id: r for r in token_counts(documents(spark, docs), RANKS).collect()}
+    for i, t, _ in docs:
         found = [best(x.encode()) for x in regex.findall(PATTERN, t or "")]
-        assert (out[i].n_pretokens, out[i].n_tokens, out[i].cost) == (len(found), sum(x & 0xFFFFF for x in found), sum(x >> 20 for x in found))
+        assert (out[i].n_pretokens, out[i].n_tokens, out[i].cost) == (len(found), sum(n for _, n in found), sum(c for c, _ in found))
     assert token_counts(empty(spark), RANKS).count() == 0
     small = UnigramTrie(RANKS, most=2)
-    assert small.count([["ab", "abc"], ["abd", "xyz", "ab"]]) == trie.count([["ab", "abc"], ["abd", "xyz", "ab"]])
+    assert [small.count([c]) for c in (["ab", "abc"], ["abd", "xyz", "ab"])] == [[x] for x in trie.count([["ab", "abc"], ["abd", "xyz", "ab"]])]
+    # a prefix is one node
+    one = UnigramTrie(RANKS)
+    one.count([["abc"], ["abd"], ["ab"]])
+    assert len(one.score) == 5 and len(one.terminal) == 3
