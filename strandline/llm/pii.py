@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -22,8 +23,18 @@ ROUNDS = 10
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 #: The first and last days of dates that are permuted.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-#: Lengths of IBANs by country, from the public registry.
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+#: Lengths of IBANs by country, from the public registry.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22,
+    "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27,
+    "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33,
+    "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29,
+    "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+#: Country codes of one and of two digits in the international number plan; all others have three.
+CALLING_CODES = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"}
 
 
 def feistel(values: list[int], radices: list[int], key: bytes, tweak: str) -> list[int]:
@@ -110,13 +121,27 @@ def address(found: str, key: bytes) -> str | None:
     return ".".join(map(str, feistel(parts, [256] * 4, key, "ip"))) if max(parts) <= 255 else None
 
 
+def address6(found: str, key: bytes) -> str | None:
+    """An IPv6 address, read as its eight numbers, so that all its spellings have one pseudonym."""
+    try:
+        if not any(c in DIGITS for c in found) or len([x for x in found.split(":") if x]) < 2:
+            return None
+        value = ipaddress.IPv6Address(found)
+    except ValueError:
+        return None
+    parts = [int(x, 16) for x in value.exploded.split(":")]
+    return str(ipaddress.IPv6Address(":".join(f"{x:x}" for x in feistel(parts, [1 << 16] * 8, key, "ip6"))))
+
+
 def phone(found: str, key: bytes) -> str | None:
+    """The country code stays, the digits after it are permuted, whatever stands between them; a number without a plus
+    is one of the North American plan."""
     digits = re.sub(r"\D", "", found)
     if not 8 <= len(digits) <= 15 or len(set(digits)) == 1:
         return None
-    head = re.match(r"\+\d{1,3}(?=[ .(-])", found)
-    n = len(head[0]) if head else 1 if found[0] == "+" else 0
-    return found[:n] + permute_text(found[n:], key, "phone" + found[:n], (DIGITS,))
+    code = next((digits[:n] for n in (1, 2) if digits[:n] in CALLING_CODES), digits[:3]) if found[0] == "+" else ""
+    body = digits[len(code) :]
+    return _into(found, code + permute_text(body, key, "phone" + (code or "1"), (DIGITS,)))
 
 
 def social(found: str, key: bytes) -> str | None:
@@ -145,8 +170,9 @@ def date(found: str, key: bytes) -> str | None:
             high, low = feistel([at // 271, at % 271], [270, 271], key, "date")
             at = high * 271 + low
             new = datetime.date.fromordinal(FIRST_DAY + at) if at < span else None
-            # month first stays readable as month first, and day first that is no month-first date stays so
-            if new and (order != "dmy" or "." in found or new.day > 12):
+            # days beyond the twelfth stay beyond it, in every order, so that what reads as day first still does, and a
+            # date has one pseudonym in all its spellings
+            if new and (new.day > 12) == (datetime.date.fromordinal(day).day > 12):
                 break
         text = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
         marks = re.findall(r"[-./]", found)
@@ -156,7 +182,8 @@ def date(found: str, key: bytes) -> str | None:
 
 def email(found: str, key: bytes) -> str | None:
     name, _, domain = found.rpartition("@")
-    return f"{permute_text(name, key, 'email' + domain.lower())}@{domain}"
+    new = permute_text(name.lower(), key, "email" + domain.lower(), (LOWER, DIGITS))
+    return "".join(n.upper() if c in UPPER else n for c, n in zip(name, new, strict=True)) + "@" + domain
 
 
 def secret(found: str, key: bytes) -> str | None:
@@ -175,6 +202,7 @@ KINDS: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", address),
+    ("ip6", r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}(?![\w:])", address6),
     ("date", r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)", date),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", social),
     ("phone", r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])", phone),

@@ -49,3 +49,29 @@ def test_documents(spark):
     s = out[30].pii[0]
     assert out[30].text[s.start : s.end].endswith("@mail.example.org") and s.kind == "email"
     assert P.pseudonyms(empty(spark), KEY).count() == 0
+
+
+def test_a_value_has_one_pseudonym_in_all_its_spellings():
+    digits = lambda x: re.sub(r"\D", "", x)
+    one = lambda x: P.pseudonymise(x, KEY)[0]
+    assert len({digits(one(x)) for x in ("+49 30 123456 78", "+49-30-123456-78", "+493012345678")}) == 1
+    assert {digits(one(x))[-10:] for x in ("(212) 555-0123", "212-555-0123", "212.555.0123", "+1 212 555 0123", "+12125550123")} == {digits(one("212-555-0123"))}
+    for day, month in ((25, 1), (1, 12), (13, 6), (12, 6)):
+        y, m, d = one(f"2020-{month:02d}-{day:02d}").split("-")
+        assert one(f"{day:02d}.{month:02d}.2020") == f"{d}.{m}.{y}" and (int(d) > 12) == (day > 12)
+        assert one(f"{day:02d}/{month:02d}/2020" if day > 12 else f"{month:02d}/{day:02d}/2020") == (f"{d}/{m}/{y}" if day > 12 else f"{m}/{d}/{y}")
+    assert one("Bob.Smith@x.com").lower() == one("bob.smith@x.com") != "bob.smith@x.com"
+    assert one("2001:db8:0:0:0:0:0:1") == one("2001:DB8::1") != "2001:db8::1"
+    assert len({one(f"fe80::{i:x}") for i in range(1, 200)}) == 199
+
+
+def test_ibans_of_other_countries_stay_valid():
+    for text in ("HR12 1001 0051 8630 0016 0", "RO49AAAA1B31007593840000", "MT84MALT011000012345MTLCAST001S"):
+        new, spans = P.pseudonymise(f"to {text}, please", KEY)
+        flat = new[spans[0][1] : spans[0][2]].replace(" ", "")
+        assert [k for k, _, _ in spans] == ["iban"] and flat != text.replace(" ", "") and P._mod97(flat) == 1
+
+
+def test_more_decoys_stay():
+    for text in ("at 12:30:45 today", "std::vector<int>", "::1", "a::b", "1:2:3:4:5:6:7:8:9"):
+        assert P.pseudonymise(text, KEY) == (text, [])
