@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import only, written
 
+#: Bytes of text for which there is a range, and the most ranges, which are branches of an expression.
+RANGE, MOST_RANGES = 1 << 26, 4096
+
 
 def canonical(text: Column) -> Column:
     """NFKC, full case folding (upper, then lower), runs of white space to one space, none at the ends."""
@@ -82,14 +85,18 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """id, text, next_id, next_text: each document beside the one that follows it by id (the first follows the last).
 
     Ids are cut into ranges at quantiles, which are ids that occur: the first document of a range is dealt to the
-    range before it too, so a window in each range finds every successor in one exchange. Equal ids ascend by text;
+    range before it too, so a window in each range finds every successor in one exchange. A range is sorted on disk
+    where it outgrows memory. Equal ids ascend by text;
     null ids come first; one document follows itself.
     """
     rows = only(docs, id_col, text_col).toDF("id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = [i / parts for i in range(1, parts)]
-    stats = rows.agg(F.min("id").alias("least"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls"), F.percentile_approx("id", cuts or [0.5], 10_000).alias("q")).first()
-    bounds = sorted({stats.least, *(stats.q or [])}) if stats.least is not None else [0]
+    # a range for each RANGE bytes of text; the splitters are quantiles of the ids with the least hashes, which works
+    # for ids of any type that has an order
+    stats = rows.agg(F.min("id").alias("least"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (stats.bytes or 0) // RANGE), MOST_RANGES)
+    some = [r.id for r in rows.where("id is not null").select("id").distinct().orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(parts * 16).collect()]
+    quantiles = sorted(some)[16::16]
+    bounds = sorted({stats.least, *quantiles}) if stats.least is not None else [0]
     bucket = _bucket(F.col("id"), bounds, 0, len(bounds) - 1)
     opens = F.col("id").isin(bounds[1:]) if len(bounds) > 1 else F.lit(False)
     first = F.col("id").isNull() if stats.nulls else F.col("id") == F.lit(bounds[0])

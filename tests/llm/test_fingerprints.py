@@ -55,3 +55,14 @@ def test_next_over_many_ranges(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got == dict(zip(ids, [*ids[1:], ids[0]], strict=True))
+
+
+def test_ids_of_any_type(spark):
+    """Successors by the order of the ids, whatever their type: the same as for numbers in the same order."""
+    from strandline.llm.fingerprints import with_next
+
+    rows = [(f"k{i:03d}", f"text {i}") for i in range(90)] + [(None, "none"), ("k005", "text 5b")]
+    got = with_next(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    want = {a: b for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+    assert {(r.id, r.text): (r.next_id, r.next_text) for r in got} == want and len(got) == len(rows)
