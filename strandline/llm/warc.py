@@ -14,7 +14,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -43,20 +43,29 @@ def decide(pages: DataFrame, least: int = 1000, id_col: str = "page_id", html_co
     return judged.select("id", "digest", F.when(revisit, "revisit").otherwise("response").alias("type"), F.when(revisit, F.col("kept")).alias("refers_to"))
 
 
-def record(page: int | None, url: str | None, payload: bytes, date: str) -> bytes:
+def record(page: object, url: str | None, payload: bytes, date: str) -> bytes:
     """A response."""
     fields = [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))]
     return _head(page, url, "response", hashlib.sha1(payload).hexdigest(), date, fields) + payload + b"\r\n\r\n"
 
 
-def revisit(page: int | None, url: str | None, digest: str, length: int, refers: int, date: str) -> bytes:
+def revisit(page: object, url: str | None, digest: str, length: int, refers: object, date: str) -> bytes:
     """A record without a block that says the digest and length of the payload that it stands for."""
-    fields = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers}>"), ("X-Payload-Length", str(length)), ("Content-Length", "0")]
+    fields = [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", _urn(refers)), ("X-Payload-Length", str(length)), ("Content-Length", "0")]
     return _head(page, url, "revisit", digest, date, fields) + b"\r\n\r\n"
 
 
-def _head(page: int | None, url: str | None, kind: str, digest: str, date: str, more: list[tuple[str, str]]) -> bytes:
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}")]
+def _urn(page: object) -> str:
+    """A page's name: its id as text, what isn't safe in a URI escaped; a null id has a name of its own."""
+    return "<urn:nopage>" if page is None else f"<urn:page:{quote(str(page), safe='')}>"
+
+
+def _page(name: str) -> str | None:
+    return unquote(name[10:-1]) if name.startswith("<urn:page:") and name.endswith(">") else None
+
+
+def _head(page: object, url: str | None, kind: str, digest: str, date: str, more: list[tuple[str, str]]) -> bytes:
+    head = [("WARC-Type", kind), ("WARC-Record-ID", _urn(page)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if url is not None:
         head.append(("WARC-Target-URI", quote(url, safe="%/:=&?~#+!$,;'@()*[]")))
     return b"".join([MAGIC, *(f"{k}: {v}\r\n".encode() for k, v in [*head, *more]), b"\r\n"])
@@ -121,14 +130,18 @@ def _fields(head: bytes) -> dict[str, str] | None:
     return fields
 
 
-def _plain(f: pa.NativeFile, at: int, size: int, most: int = 1 << 16) -> tuple[dict[str, str], bytes, int] | None:
-    """Fields, block and successor of a plain record that starts at a place; None if none can be read there."""
-    for n in (1024, most):
+def _plain(f: pa.NativeFile, at: int, size: int) -> tuple[dict[str, str], bytes, int] | None:
+    """Fields, block and successor of a plain record that starts at a place; None if none can be read there. A header is
+    read on, twice as far each time, as long as its lines are fields."""
+    n = 1024
+    while True:
         head = f.read_at(min(n, size - at), at)
         if (end := head.find(b"\r\n\r\n")) >= 0:
             break
-    else:
-        return None
+        lines = head[len(MAGIC) :].rpartition(b"\r\n")[0]
+        if at + n >= size or lines and _fields(lines) is None:
+            return None
+        n *= 2
     fields, block = _fields(head[len(MAGIC) : end]), at + end + 4
     length = (fields or {}).get("content-length", "")
     if not (length.isascii() and length.isdigit()) or block + int(length) + 4 > size:
@@ -162,7 +175,6 @@ def candidates(spark: SparkSession, uri: str, files: list[tuple[str, int]], spli
     whether one was written there or not. Splits of so many bytes are dealt to tasks; a task holds one
     split and one record at a time."""
     small_batches(spark, 8192)
-    number = re.compile(r"<urn:page:(-?\d+)>").fullmatch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,17 +191,17 @@ def candidates(spark: SparkSession, uri: str, files: list[tuple[str, int]], spli
                         digest, n = fields.get("warc-payload-digest", "").removeprefix("sha1:"), fields.get("x-payload-length", "0")
                     else:
                         digest, n = hashlib.sha1(block).hexdigest(), str(len(block))
-                    page, refers = (number(fields.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
-                    out.append((i, at, after, page and int(page[1]), int(n) if n.isdigit() else 0, digest, kind, refers and int(refers[1])))
+                    page, refers = (_page(fields.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
+                    out.append((i, at, after, page, int(n) if n.isdigit() else 0, digest, kind, refers))
                 if out:
-                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["file", "off", "next", "page", "bytes", "digest", "type", "refers"])
 
     listed = spark.createDataFrame([(i, n, size) for i, (n, size) in enumerate(files)], "file int, name string, size long")
     count = sum(-(-size // split) for _, size in files)
     places = listed.select("file", "name", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("a"))
     places = places.withColumn("b", F.least(F.col("a") + split, F.col("size"))).repartition(min(max(1, count), 50_000), "file", "a")
-    return places.mapInArrow(run, "file int, off long, next long, page long, bytes long, digest string, type string, refers long")
+    return places.mapInArrow(run, "file int, off long, next long, page string, bytes long, digest string, type string, refers string")
 
 
 def reached(places: DataFrame) -> DataFrame:
@@ -209,9 +221,9 @@ def reached(places: DataFrame) -> DataFrame:
     return now.where("seen").select("file", "off")
 
 
-def read_warc(spark: SparkSession, uri: str, files: list[tuple[str, int]], split: int = 1 << 23) -> DataFrame:
+def read_warc(spark: SparkSession, uri: str, files: list[tuple[str, int]], split: int = 1 << 23, id_type: str = "bigint") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record of the archives, false starts in
-    payloads left out. Raises ValueError if a chain doesn't end with its file: then the archive is damaged."""
+    payloads left out. Ids are read as id_type; one that can't be is an error, none is null. Raises ValueError if a chain doesn't end with its file: then the archive is damaged."""
     places = written(candidates(spark, uri, files, split), "warc-places")
     real = places.join(reached(places.select("file", "off", "next")), ["file", "off"])
     sizes = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(files)], "file int, size long") if files else None
@@ -219,4 +231,4 @@ def read_warc(spark: SparkSession, uri: str, files: list[tuple[str, int]], split
         bad = sizes.join(real.groupBy("file").agg(F.max("next").alias("end")), "file", "left").where("end is null or end <> size").limit(1).collect()
         if bad:
             raise ValueError(f"the records of {files[bad[0].file][0]} end at {bad[0].end}, the file at {bad[0].size}")
-    return real.selectExpr("page as page_id", "bytes as payload_bytes", "digest as payload_digest", "type as record_type", "refers as refers_to")
+    return real.selectExpr(f"cast(page as {id_type}) as page_id", "bytes as payload_bytes", "digest as payload_digest", "type as record_type", f"cast(refers as {id_type}) as refers_to")

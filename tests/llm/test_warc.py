@@ -80,3 +80,12 @@ def test_compressed_record_inside_a_stored_one(spark):
         f.write(data)
     assert data.count(bytes([0x1F, 0x8B, 8])) == 3
     assert sorted(r.page_id for r in read_warc(spark, uri, [("x.warc.gz", len(data))]).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_ids_of_any_type_and_long_headers(spark, compress):
+    rows = [("a/1 é>", "http://x/" + "y" * 70000, BIG), ("zz", "u", BIG), (None, "u", "short"), ("5", None, None)]
+    uri = fresh_path(spark, "test-warc")
+    files = write_warc(spark.createDataFrame(rows, "page_id string, url string, html string"), uri, compress=compress)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in read_warc(spark, uri, files, id_type="string").collect()}
+    assert got == {"a/1 é>": ("revisit", "zz"), "zz": ("response", None), None: ("response", None), "5": ("response", None)}
