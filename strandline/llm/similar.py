@@ -104,7 +104,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         apart = "aggregate(zip_with(countsa, countsb, (p, q) -> abs(p - q)), 0, (p, q) -> p + q)"
         near = pairs.join(x, "a").join(y, "b").where(f"{num + den} * {apart} <= {den - num} * (na + nb)").select("a", "b")
         near = written(near, f"similar-near-{name}")
-        wanted = written(near.selectExpr("explode(array(a, b)) as c").distinct().join(classes.select("c", "row1", "row2"), "c"), f"similar-wanted-{name}")
+        wanted = written(near.selectExpr("a as c").unionByName(near.selectExpr("b as c")).distinct().join(classes.select("c", "row1", "row2"), "c"), f"similar-wanted-{name}")
         # their texts are fetched once; where they are few, the corpus stays where it is
         wanted_rows = F.broadcast(wanted) if wanted.count() <= FEW else wanted
         texts = source.join(wanted_rows, ["row1", "row2"]).select("c", text_col)
@@ -124,18 +124,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     # by shingle: next to each other by size, with whom a class shares most; what these miss is found below
     heads = classes.select("c", "n", F.posexplode("head").alias("at", "s"))
     shared = heads.join(heads.groupBy("s").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "s")
-    shared = written(shared.select("s", "c", "n", "at", F.pmod(F.col("c"), F.ceil(F.col("many") / ROW)).alias("row")), "similar-shared")
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num)) + 1e-9).cast("int")
+    shared = written(shared.select("s", "c", "n", "at", step.alias("step"), F.pmod(F.col("c"), F.ceil(F.col("many") / ROW)).alias("row")), "similar-shared")
     chain = shared.withColumn("before", F.lag(F.struct("c", "n")).over(Window.partitionBy("s", "row").orderBy("n", "c"))).where(f"before is not null and {den} * before.n >= {num} * n")
     chain = chain.groupBy(F.col("before.c").alias("a"), F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("k")).groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
-    # and with the one that has it foremost, which has the least of its own before it
-    hubs = shared.groupBy("s").agg(F.min(F.struct("at", "c")).alias("hub")).select("s", "hub.at", F.col("hub.c").alias("hub"))
-    stars = shared.drop("at").join(hubs, "s").where("c <> hub").groupBy(F.col("hub").alias("a"), F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("k")).groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
+    # and with the one of about its size that has it foremost, which has the least of its own before it
+    hubs = shared.groupBy("s", "step").agg(F.min(F.struct("at", "c")).alias("hub")).select("s", "step", F.col("hub.c").alias("hub"))
+    stars = shared.join(hubs, ["s", "step"]).where("c <> hub").groupBy(F.col("hub").alias("a"), F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("k")).groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
     first = verified(grid.unionByName(equal).unionByName(chain).unionByName(stars).selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct(), "first")
+    room = f"{num + den} * least(x.n - x.at, y.n - y.at) >= {num} * (x.n + y.n)"
+    # groups that came of this may be alike by many pairs: of each shingle, the foremost of each group meets that of the largest
+    met = shared.join(written(components(first), "similar-joined").withColumnRenamed("node", "c"), "c")
+    fronts = met.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("at", "c", "n")).alias("front")).select("s", "root", "k", "front.*")
+    fronts = written(fronts, "similar-fronts")
+    chief = fronts.groupBy("s").agg(F.max(F.struct("k", "root", "at", "c", "n")).alias("y"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("s", "y")
+    between = fronts.select("s", F.struct("root", "at", "c", "n").alias("x")).join(chief, "s").where(f"x.root <> y.root and {room}")
+    first = written(first.unionByName(verified(between.selectExpr("least(x.c, y.c) as a", "greatest(x.c, y.c) as b").distinct(), "second")), "similar-early")
     joined = written(components(first), "similar-joined")
     # all other pairs that share a shingle of their prefixes: each that isn't of the shingle's largest group against all,
     # dealt by the shingle and the size (sets that are alike lie in the same step of sizes, or in the next one)
     known = shared.drop("row").join(joined.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    known = written(known.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num)) + 1e-9).cast("int")), "similar-known")
+    known = written(known, "similar-known")
     forget(shared)
     largest = known.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
     open_ = written(known.join(largest, "s"), "similar-open")
@@ -143,7 +152,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     y = open_.alias("y")
     # of two that both aren't of the largest group, one order is enough
     once = "(y.root = y.largest or x.c < y.c)"
-    room = f"{num + den} * least(x.n - x.at, y.n - y.at) >= {num} * (x.n + y.n)"
     met = x.join(y, F.expr(f"x.s = y.s and x.step = y.step and x.root <> y.root and {once} and {room}"))
     rest = verified(met.selectExpr("least(x.c, y.c) as a", "greatest(x.c, y.c) as b").distinct(), "rest")
     roots = components(first.unionByName(rest)).withColumnRenamed("node", "c")
