@@ -101,8 +101,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import fresh_path
     from .warc import read_warc, write_warc
 
-    uri = fresh_path(spark, "warc")
-    return read_warc(spark, uri, write_warc(_table(spark, sf_dir, "pages"), uri))
+    uri, pages = fresh_path(spark, "warc"), _table(spark, sf_dir, "pages")
+    return read_warc(spark, uri, write_warc(pages, uri), id_type=pages.schema["page_id"].dataType.simpleString())
 
 
 @query("op6_fingerprints")
@@ -144,4 +144,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
-    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+    # a cut may fall inside a character, whose bytes the text then shows as U+FFFD; the digest is of the bytes
+    return remove_repeats(_table(spark, sf_dir, "documents")).withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")

@@ -7,17 +7,16 @@ whose whole surroundings are equal are one class, which settles them; only class
 class, but not the surroundings, have open strings.
 
 Those are sorted: their surroundings are range-partitioned by the leading bytes of the anchored suffix (splitters come
-from a sample), and in each range the suffixes that start at the open places are sorted by multikey: by the
-fingerprint of the leading block, ties by that of the next one and so on to the end; neighbours that agree in all are
-held against each other byte by byte. Suffixes of one gram don't cross a range's boundary, except where a gram has so
+from a sample), and in each range the suffixes that start at the open places are sorted by multikey quicksort, on their
+own bytes, eight to a key. Suffixes of one gram don't cross a range's boundary, except where a gram has so
 many classes that no task should hold them: the suffixes of those are dealt by their own fingerprint and counted.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import small_batches, written
 
 SEGMENT = 1 << 20
-BLOCKS = 5
 _BASE = 0x9E3779B97F4A7C15
 _ONE = np.uint64(1)
 
@@ -100,46 +98,65 @@ def anchors(data: memoryview, length: int, gram: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def multikey_quicksort(word: Callable[[np.ndarray, np.ndarray], np.ndarray], groups: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sort strings within their groups; (order, number): strings in sorted order, of which those that are alike in all
+    words have one number. word(which, depth): the words (uint64) of those strings at those depths.
+
+    Ternary partition at a pivot, word by word: smaller and larger strings go on at the same word, equal ones at the
+    next. All parts of all groups are partitioned in the same pass; a part that is settled, by being one string or by
+    having no words left, leaves the passes.
+    """
+    order = np.argsort(groups, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(groups[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    # of the parts that are open: where they start and end in order, and their depth
+    low, high, depth = first, np.append(first[1:], len(order)), np.zeros(len(first), np.int64)
+    starts = np.zeros(len(order) + 1, bool)  # where a part of strings that are alike starts
+    starts[first] = True
+    while True:
+        open_ = (high - low > 1) & (depth < words)
+        low, high, depth = low[open_], high[open_], depth[open_]
+        if not len(low):
+            break
+        sizes = high - low
+        part = np.repeat(np.arange(len(low)), sizes)
+        at = np.arange(len(part)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[part]
+        key = word(order[at], depth[part])
+        # the median of the first, the middle and the last string
+        edge = np.cumsum(sizes)
+        three = np.sort(np.stack([key[edge - sizes], key[edge - sizes + sizes // 2], key[edge - 1]]), axis=0)
+        pivot = three[1][part]
+        side = part * 3 + 1 + (key > pivot) - (key < pivot)
+        rank = np.argsort(side, kind="stable")
+        order[at] = order[at][rank]
+        side = side[rank]
+        new = np.flatnonzero(np.append(True, side[1:] != side[:-1]))
+        starts[at[new]] = True
+        depth = depth[side[new] // 3] + (side[new] % 3 == 1)
+        low, high = at[new], at[np.append(new[1:], len(at)) - 1] + 1
+    return order, np.cumsum(starts[: len(order)]) - 1
+
+
 def repeated(rows: list[bytes], counts: np.ndarray, groups: np.ndarray, length: int) -> np.ndarray:
     """For the strings of length bytes that start at the first counts[i] bytes of rows[i], whether each occurs again.
 
     Strings are compared within a group only, and only with those of the same distance to their anchor (groups has a
-    number for each string that says both).
+    number for each string that says both): they are sorted by their bytes, eight at a time, and equal ones are
+    neighbours then. Strings that are alone in their group aren't sorted.
     """
     data = b"".join(rows)
     sizes = np.array([len(r) for r in rows], np.int64)
     base = np.repeat(np.cumsum(sizes) - sizes, counts)
     at = base + np.arange(len(base)) - np.repeat(np.cumsum(counts) - counts, counts)
-    h, block = Hashes(data), length // BLOCKS
-    order, group = np.arange(len(at)), groups
+    if not len(at):
+        return np.zeros(0, bool)
+    view = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    # the last word overlaps the one before it where length isn't a multiple of eight
+    offsets = np.array([*range(0, length - 7, 8), *([length - 8] if length % 8 else [])], np.int64)
+    _, number = np.unique(groups, return_inverse=True)
+    some = np.flatnonzero(np.bincount(number)[number] > 1)
+    order, alike = multikey_quicksort(lambda which, depth: view[at[some[which]] + offsets[depth]].astype(np.uint64), number[some], len(offsets))
     found = np.zeros(len(at), bool)
-    edges = [*range(0, block * BLOCKS, block), length]
-    for low, high in zip(edges, edges[1:], strict=False):
-        key = h.of(at[order] + low, at[order] + high)
-        rank = np.lexsort((key, group))
-        order, group, key = order[rank], group[rank], key[rank]
-        new = np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])) if len(order) else np.zeros(0, bool)
-        number = np.cumsum(new) - 1
-        keep = np.bincount(number, minlength=1)[number] > 1 if len(order) else new
-        order, group = order[keep], number[keep]
-    if not len(order):
-        return found
-    # neighbours byte by byte, eight at a time; the last word overlaps the one before it
-    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    same = group[1:] == group[:-1]
-    a, b = at[order[:-1]], at[order[1:]]
-    for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        same &= words[a + k] == words[b + k]
-    if (same == (group[1:] == group[:-1])).all():
-        found[order] = True
-        return found
-    # a collision of fingerprints: let the bytes themselves decide in all groups
-    seen: dict[tuple[int, bytes], list[int]] = {}
-    for o, g in zip(order.tolist(), group.tolist(), strict=True):
-        seen.setdefault((g, data[at[o] : at[o] + length]), []).append(o)
-    for members in seen.values():
-        if len(members) > 1:
-            found[members] = True
+    found[some[order]] = np.bincount(alike, minlength=1)[alike] > 1
     return found
 
 
@@ -267,7 +284,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, gram: int | None = Non
     # classes of several members: all strings of all members
     several = classes.where("n > 1").select("gram", "class")
     spans.append(found.join(several, ["gram", "class"]).select("id", "sum", F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b")))
-    joined = spans[0].unionByName(spans[1]).unionByName(spans[2])
+    joined = reduce(DataFrame.unionByName, spans)
     merged = written(joined.groupBy("id", "sum").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "suffix-spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,3 +67,17 @@ def test_edges(spark):
     rows = [(None, text, "a"), (1, text + "x", "a"), (1, text + "x", "a"), (1, "other", "a")]
     out = remove_repeats(documents(spark, rows)).collect()
     assert sorted((r.n_bytes, r.n_removed) for r in out) == [(5, 0), (600, 600), (601, 601), (601, 601)]
+
+
+def test_multikey_quicksort_sorts_within_groups():
+    import numpy as np
+
+    from strandline.llm.suffix_dedup import multikey_quicksort
+
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 500):
+        rows, groups = r.integers(0, 3, (n, 5)).astype(np.uint64), r.integers(0, 4, n)
+        order, number = multikey_quicksort(lambda which, depth: rows[which, depth], groups, 5)
+        keys = [(groups[i], *rows[i].tolist()) for i in order]
+        assert keys == sorted((groups[i], *rows[i].tolist()) for i in range(n))
+        assert all((a == b) == (i == j) for a, b, i, j in zip(keys, keys[1:], number, number[1:], strict=False))
