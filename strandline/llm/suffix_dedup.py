@@ -27,6 +27,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import small_batches, written
 
 SEGMENT = 1 << 20
+#: Shares of all places: a class with more than one of them is dealt to a task for each.
+SHARES = 1024
 _BASE = 0x9E3779B97F4A7C15
 _ONE = np.uint64(1)
 
@@ -282,8 +284,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, gram: int | None = Non
     often = each.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     spans.append(each.where("n = 1").join(often, key).select("id", "sum", F.col("at").alias("a"), (F.col("at") + length).alias("b")))
     # classes of several members: all strings of all members
-    several = classes.where("n > 1").select("gram", "class")
-    spans.append(found.join(several, ["gram", "class"]).select("id", "sum", F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b")))
+    # a class is dealt to so many tasks by its share of all places; those with more than one task are under SHARES
+    total = classes.agg(F.sum("n")).first()[0] or 1
+    several = classes.where("n > 1").select("gram", "class", F.ceil(F.col("n") * SHARES / F.lit(total)).cast("int").alias("tasks"))
+    hot = F.broadcast(several.where("tasks > 1"))
+    dealt = found.join(hot, ["gram", "class"], "left").withColumn("task", F.expr("pmod(xxhash64(id, sum, first), coalesce(tasks, 1))"))
+    several = several.select("gram", "class", F.explode(F.expr("sequence(0L, tasks - 1L)")).alias("task"))
+    spans.append(dealt.join(several, ["gram", "class", "task"]).select("id", "sum", F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b")))
     joined = reduce(DataFrame.unionByName, spans)
     merged = written(joined.groupBy("id", "sum").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "suffix-spans")
 
