@@ -178,6 +178,7 @@ for _name, _where, _sql in [
 
 text("p10_quantifiers", "MATCH (p:Part) WITH p.p_partkey AS id, split(p.p_name, ' ') AS w RETURN id, ANY(x IN w WHERE size(x) > 6) AS a, ALL(x IN w WHERE size(x) > 3) AS b, NONE(x IN w WHERE x STARTS WITH 'a') AS c, SINGLE(x IN w WHERE x CONTAINS 'e') AS d", "SELECT id, len(list_filter(w, lambda x: length(x) > 6)) > 0 AS a, len(list_filter(w, lambda x: length(x) > 3)) = len(w) AS b, len(list_filter(w, lambda x: starts_with(x, 'a'))) = 0 AS c, len(list_filter(w, lambda x: contains(x, 'e'))) = 1 AS d FROM (SELECT p_partkey AS id, string_split(p_name, ' ') AS w FROM part)")
 text("p13_similar_where", "MATCH (v:Vec) WHERE v SIMILAR TO $q THRESHOLD 0.2 RETURN v.id AS id", f"SELECT vec_id AS id FROM embeddings WHERE list_cosine_similarity(embedding::DOUBLE[], {[round(((i * 37) % 11 - 5) / 10, 1) for i in range(64)]}::DOUBLE[]) >= 0.2", {"q": [round(((i * 37) % 11 - 5) / 10, 1) for i in range(64)]})
+text("p12_bare", "MATCH (c:Customer) WITH c.c_custkey AS id, c.c_acctbal > 0 AS good WHERE good RETURN id", "SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0")
 text("p14_path_where", "MATCH p = shortestPath((a:User)-[:FOLLOWS*]-(b:User)) WHERE a.id < 3 AND (b.id = 10 OR b.id = 12) RETURN a.id AS a, b.id AS b, length(p) AS n", f"""WITH RECURSIVE {FOLLOWS}, e AS (SELECT src AS a, dst AS b FROM follows UNION SELECT dst, src FROM follows),
     r(s, id, d) AS (SELECT src, src, 0 FROM (SELECT DISTINCT src FROM follows WHERE src < 3) UNION SELECT s, e.b, d + 1 FROM r JOIN e ON e.a = r.id WHERE d < 5)
     SELECT s AS a, id AS b, min(d) AS n FROM r WHERE id IN (10, 12) AND s <> id GROUP BY s, id""")
@@ -235,6 +236,7 @@ text("f20_f39_math", "MATCH (c:Customer) WITH c.c_custkey AS id, c.c_acctbal AS
 text("f36_rand", "UNWIND range(1, 5) AS x RETURN x, rand() >= 0 AND rand() < 1 AS unit", "SELECT x, true AS unit FROM range(1, 6) t(x)")
 text("f41_f47_time", "UNWIND ['2024-03-05', '2023-12-31T23:59:58Z', '2024-02-29 01:02:03', 'x'] AS s RETURN s, date(s) AS d, datetime(s) AS t, s.year AS y, s.month AS mo, s.day AS da, s.hour AS h, s.minute AS mi, s.second AS se, s.millisecond AS ms, s.dayOfWeek AS w, s.dayOfYear AS yd", "SELECT * FROM (VALUES ('2024-03-05', '2024-03-05', '2024-03-05T00:00:00Z', 2024::BIGINT, 3::BIGINT, 5::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 2::BIGINT, 65::BIGINT), ('2023-12-31T23:59:58Z', '2023-12-31', '2023-12-31T23:59:58Z', 2023, 12, 31, 23, 59, 58, 0, 0, 365), ('2024-02-29 01:02:03', '2024-02-29', '2024-02-29T01:02:03Z', 2024, 2, 29, 1, 2, 3, 0, 4, 60), ('x', NULL, 'x', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)) t(s, d, t, y, mo, da, h, mi, se, ms, w, yd)")
 text("f41_now", "RETURN timestamp() AS ms, date() AS d, datetime() AS t, localtime() AS l", "SELECT 1706745600000::BIGINT AS ms, '2024-02-01' AS d, '2024-02-01T00:00:00Z' AS t, '00:00:00' AS l")
+text("f44_f46_local", "MATCH (n:Nation) RETURN n.n_name AS name, localdatetime(n.n_name) AS ld, time(n.n_name) AS t, localdatetime() AS now, time() AS clock", "SELECT n_name AS name, n_name AS ld, n_name AS t, '2024-02-01T00:00:00' AS now, '00:00:00' AS clock FROM nation")
 text("f48_f54_entities", "MATCH (n:Nation)-[r:PART_OF]->(x:Region) RETURN id(n) AS id, labels(n) AS l, type(r) AS t, keys(n) AS k, startNode(r) AS a, endNode(r) AS b, properties(x).r_name AS p, exists(n.nothing) AS e, elementId(x) AS xi", "SELECT n_nationkey AS id, ['Nation'] AS l, 'PART_OF' AS t, ['n_name', 'n_nationkey', 'n_regionkey'] AS k, n_nationkey AS a, n_regionkey AS b, r_name AS p, false AS e, r_regionkey AS xi FROM nation JOIN region ON n_regionkey = r_regionkey")
 text("l1_l3_lists", "UNWIND range(3, 1, -1) AS x RETURN x, range(1, x) AS up, range(x, 1) AS wrong, [y IN range(1, 6) WHERE y % 2 = 0 | y * x] AS c, [x, x + 1] AS l", "SELECT x, list_transform(range(1, x + 1), lambda v: v) AS up, CASE WHEN x = 1 THEN [1::BIGINT] ELSE [] END AS wrong, [2.0 * x, 4.0 * x, 6.0 * x]::DOUBLE[] AS c, [x, x + 1]::DOUBLE[] AS l FROM (VALUES (3::BIGINT), (2), (1)) t(x)")
 text("l6_case", "MATCH (c:Customer) RETURN c.c_custkey AS id, CASE WHEN c.c_acctbal > 5000 THEN 'rich' WHEN c.c_acctbal > 0 THEN 'fine' ELSE 'poor' END AS a, CASE c.c_nationkey WHEN 1 THEN 'one' WHEN 2 THEN 'two' END AS b", "SELECT c_custkey AS id, CASE WHEN c_acctbal > 5000 THEN 'rich' WHEN c_acctbal > 0 THEN 'fine' ELSE 'poor' END AS a, CASE c_nationkey WHEN 1 THEN 'one' WHEN 2 THEN 'two' END AS b FROM customer")
@@ -281,6 +283,29 @@ def m9_transaction(spark, sf_dir):
     return g.query("MATCH (n:Nation) RETURN n.n_nationkey AS id, n.n_name AS name")
 
 
+@code("m8_single_mutations", "SELECT n_nationkey AS id, CASE WHEN n_nationkey = 3 THEN NULL ELSE n_name END AS name FROM nation WHERE n_nationkey <> 4 UNION ALL SELECT 100, 'made'")
+def m8_single_mutations(spark, sf_dir):
+    g = tpch_graph(spark, sf_dir)
+    g.create_node("Nation", {"n_nationkey": 100, "n_name": "made"})
+    g.remove_property("Nation", 3, "n_name")
+    g.delete_node("Nation", 4)
+    return g.query("MATCH (n:Nation) RETURN n.n_nationkey AS id, n.n_name AS name")
+
+
+@code("m8_create_rel", "SELECT r_name AS region, count(*) + CASE WHEN r_regionkey = 1 THEN 1 ELSE 0 END AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
+def m8_create_rel(spark, sf_dir):
+    g = tpch_graph(spark, sf_dir)
+    g.create_rel("PART_OF", ("Nation", 0), ("Region", 1))
+    return g.query("MATCH (n:Nation)-[:PART_OF]->(r:Region) RETURN r.r_name AS region, count(n) AS n")
+
+
+@code("j13_p15_transaction_reads", "SELECT r_name AS region, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 2 AND n_name <> 'NATION_3' GROUP BY r_name")
+def j13_p15_transaction_reads(spark, sf_dir):
+    with tpch_graph(spark, sf_dir).transaction() as tx:
+        tx.set_property("Nation", 2, "n_name", "seen inside")
+        return tx.query("MATCH (n:Nation)-[:PART_OF]->(r:Region) WHERE n.n_name <> 'seen inside' AND n.n_name <> 'NATION_3' RETURN r.r_name AS region, count(n) AS n")
+
+
 mutated("m10_embed", ["MATCH (r:Region) EMBED r.r_name"], "MATCH (r:Region) SIMILAR TO 'ASIA' LIMIT 1 RETURN r.r_name AS name, round(similarity) AS s", "SELECT 'ASIA' AS name, 1.0::DOUBLE AS s")
 
 # algorithms
