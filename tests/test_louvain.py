@@ -21,7 +21,7 @@ def test_both_paths_agree(spark, kind):
     assert len(one) == 120 and one == many
 
 
-@pytest.mark.parametrize("what", ["pagerank"])
+@pytest.mark.parametrize("what", ["pagerank", "louvain"])
 def test_through_time_alike_at_any_size(spark, what):
     """In one place, by tasks that hold the history, and time by time: nodes and edges that come and go, and come again."""
     r, day = random.Random(5), lambda d: datetime.datetime(2024, 1, d)
