@@ -4,6 +4,7 @@ import pytest
 from strandline.graph import Graph
 from strandline.operators import algorithms, paths
 from strandline.operators.intervals import compact, overlap_join
+from strandline.plans import patterns
 from strandline.plans.expressions import QueryProblem
 
 T0 = datetime.datetime(2023, 1, 1)
@@ -210,3 +211,34 @@ def test_stream_to_versions(spark, tmp_path):
     out = windowed_counts(zoned, "at", "role", width="1 day").writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     out.awaitTermination()
     assert spark.sql("select sum(n) from counts").first()[0] == 3
+
+
+def test_reach_without_bound(spark):
+    """A chain longer than ten hops, a way back, a self-loop and nodes off it: alike in tasks and by rounds."""
+    pairs = [(i, i + 1) for i in range(14)] + [(14, 3), (5, 5), (5, 6), (20, 21)]
+    edges, sources = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([(0,), (12,), (99,)], "src long")
+    for low, high in ((1, None), (4, 12)):
+        want = []
+        for s in (0, 12):
+            depth, front = {s: 0}, [s]
+            while front:
+                front = list({b for a, b in pairs if a in front and b not in depth})
+                depth |= dict.fromkeys(front, max(depth.values()) + 1)
+            want += [(s, n, d) for n, d in depth.items() if low <= d <= (high or 99)]
+        for most in (1000, 0):
+            assert rows(paths.reach(edges, sources, low, high, task_edges=most)) == sorted(want, key=str)
+    g = Graph(spark)
+    g.add_nodes(spark.createDataFrame([(i,) for i in range(15)], "id long"), "Stop", "id")
+    g.add_rels(spark.createDataFrame(pairs[:14], "src long, dst long"), "NEXT", "Stop", "Stop")
+    ask = lambda hops, **k: rows(g.query(f"MATCH (a:Stop {{id: 0}})-[:NEXT{hops}]->(b) RETURN count(b) AS n", **k))
+    assert (ask("*"), ask("*12.."), ask("*..10"), ask("*", per_path=True)) == ([(14,)], [(3,)], [(10,)], [(10,)])
+
+
+def test_searches_start_where_conditions_hold(spark, monkeypatch):
+    g = Graph(spark)
+    g.add_nodes(spark.createDataFrame([(i,) for i in range(9)], "id long"), "Stop", "id")
+    g.add_rels(spark.createDataFrame([(i, i + 1) for i in range(8)], "src long, dst long"), "NEXT", "Stop", "Stop")
+    seen, reach = [], patterns.reach
+    monkeypatch.setattr(patterns, "reach", lambda links, start, *a: seen.append(rows(start)) or reach(links, start, *a))
+    assert rows(g.query("MATCH (a)-[:NEXT*]->(b) WHERE a.id = 3 AND b.id > 5 RETURN a.id AS a, b.id AS b")) == [(3, 6), (3, 7), (3, 8)]
+    assert seen == [[(3,)]]
