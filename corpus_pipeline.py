@@ -48,8 +48,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences of 1,024 tokens, from documents in the order in which they are stored."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), by_id=False)
+    """The pieces of packed sequences of 1,024 tokens, from documents in the order in which they are stored. Words aren't
+    kept from task to task: all stages share the executors' memory."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), by_id=False, keep_words=False)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", pii), ("mixing", mixing), ("packing", packing)]

@@ -82,6 +82,13 @@ class CachedEncoder:
             cls._open[path, most] = cls(path, most)
         return cls._open[path, most]
 
+    @classmethod
+    def forget_words(cls) -> None:
+        """Empty the caches of this Python worker's encoders; their vocabularies stay."""
+        for encoder in cls._open.values():
+            encoder.known.clear()
+            encoder._marks.clear()
+
     @staticmethod
     def pieces(text: str) -> list[str]:
         """Keys of the cache: the first starts with a space and stands for itself without it; one that starts with a

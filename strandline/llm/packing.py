@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, small_batches
+from .common import hand_back, only, small_batches
 from .encoding import CachedEncoder
 
 #: What the last token of a sentence ends with, and that of a clause.
@@ -95,7 +95,7 @@ def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, size: in
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, *, size: int = 1024, end_id: int = 0, penalties: tuple[int, int, int] = (2, 6, 64), block: int = 1 << 19, by_id: bool = True, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, *, size: int = 1024, end_id: int = 0, penalties: tuple[int, int, int] = (2, 6, 64), block: int = 1 << 19, by_id: bool = True, keep_words: bool = True, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row for each piece: id_col, start (its document's ids before it), length, ids_crc32, doc_tokens (with the
     end id), sequence_id, offset (in the sequence, gapless from 0).
@@ -104,7 +104,9 @@ def pack(
     order in which docs is stored, and nothing is exchanged. A task packs its range in
     blocks of whole documents of about block tokens, which bounds its memory to a block and the longest document; a
     block's last window ends with it. A null or empty text is the end id alone; repeated rows are packed as often as
-    they occur; an empty table gives no row. sequence_id ascends in the order of the documents, with gaps.
+    they occur; an empty table gives no row. sequence_id ascends in the order of the documents, with gaps. keep_words:
+    whether a Python worker keeps its encoded words (up to a million, about 200 MB) from task to task; without, that
+    memory is free for whatever else runs in the session.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -150,6 +152,9 @@ def pack(
                     yield flush()
         if texts:
             yield flush()
+        if not keep_words:
+            encoder.forget_words()
+            hand_back()
 
     ordered = only(docs, id_col, text_col)
     if by_id:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import hand_back, small_batches
 
 ROUNDS = 10
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
@@ -274,5 +274,6 @@ def pseudonyms(docs: DataFrame, key: bytes, *, text_col: str = "text") -> DataFr
             columns = list(b.columns)
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pii)], names=[*b.schema.names, "pii"])
+        hand_back()
 
     return docs.mapInArrow(run, schema)

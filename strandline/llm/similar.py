@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, only, small_batches, written
+from .common import forget, hand_back, only, small_batches, written
 from .components import components
 from .simhash import links, shingle_hashes, simhash
 
@@ -49,6 +49,7 @@ def _common(docs: DataFrame, text_col: str, size: int, one_in: int, often: int,
         for b in batches:
             for text in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text, size))], names=["s"])
+        hand_back()
 
     sample = only(docs, text_col).where(F.expr(f"pmod(xxhash64(`{text_col}`), {one_in}) = 0"))
     counts = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= often)
@@ -87,6 +88,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
                 heads.append(np.concatenate([s[~late], s[late]])[: len(s) - -(-len(s) * num // den) + 1 if len(s) else 0])
             columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array(simhash(texts, size).view(np.int64)), pa.array(counts, pa.list_(pa.int8())), pa.array(heads, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(keys[:, 0]), pa.array(keys[:, 1]), *columns], names=["id", "row1", "row2", "key1", "key2", "n", "fp", "counts", "head"])
+        hand_back()
 
     rows = written(source.mapInArrow(described, f"id {kind}, row1 long, row2 long, key1 long, key2 long, n int, fp long, counts array<tinyint>, head array<long>"), "similar-rows")
     classes = rows.groupBy("key1", "key2").agg(F.min(F.struct("row1", "row2")).alias("row"), *(F.first(x).alias(x) for x in ("n", "fp", "counts", "head")))
@@ -96,6 +98,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         for b in batches:
             sets = pa.array([shingles(t, size) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["c", "items"])
+        hand_back()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) of classes whose sets are similar enough: first by the Manhattan distance of their counts

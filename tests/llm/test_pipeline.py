@@ -1,6 +1,7 @@
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from brute import documents
 from test_similar import brute_groups
@@ -50,3 +51,17 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
         assert docs.count() == 0
+
+
+def test_packing_leaves_no_words_in_the_workers(spark):
+    """Idle workers count to an executor's memory while the other stages run."""
+    corpus_pipeline.packing(spark, documents(spark, [(i, GOOD.format(f"thing{i}", f"{i}-th"), "a") for i in range(60)]), "").collect()
+
+    def held(batches):
+        from strandline.llm.encoding import CachedEncoder
+
+        for b in batches:
+            n = sum(len(e.known) for e in CachedEncoder._open.values())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int64())], names=["n"])
+
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {0}
