@@ -52,6 +52,19 @@ def test_against_brute_force(spark, seed, most):
         assert got[i] == want, (i, texts[i])
 
 
+@pytest.mark.parametrize("most", [50_000, 1])
+def test_texts_made_to_have_equal_sums_of_powers_stay(spark, most):
+    # the sums of each with the base's powers are equal modulo 2 ** 64, whatever stands around them
+    x, y = "kmolmonoooknlnonlmnnnlmmmm", "omlnnlmkklomolkmnnlmmnnnmn"
+    r = random.Random(5)
+    before, after = ("".join(r.choice("abcdefgh") for _ in range(390)) for _ in range(2))
+    texts = [before + x + after, before + y + after, "z" + before + x + after[:300]]
+    for some in (texts[:2], texts):
+        out = remove_repeats(documents(spark, [(i, t, "a") for i, t in enumerate(some)]), most=most).collect()
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out}
+        assert [got[i] for i in range(len(some))] == brute(some, 400)
+
+
 def test_long_text_over_segments(spark):
     r = random.Random(9)
     long = "".join(r.choice("abcdefghij") for _ in range(2_300_000))
